@@ -1,0 +1 @@
+"""operators of the point-cloud and building-document engine."""

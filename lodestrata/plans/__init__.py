@@ -1,0 +1 @@
+"""plans of the point-cloud and building-document engine."""

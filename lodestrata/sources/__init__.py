@@ -1,0 +1 @@
+"""sources of the point-cloud and building-document engine."""

@@ -1,0 +1 @@
+"""streaming of the point-cloud and building-document engine."""
