@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import url_filter, warc
+from . import pivot_search, simhash, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_normaliser": warc.query,
     "op2_url_cascade": url_filter.query,
+    "op5_simhash_components": simhash.query,
+    "op10_pivot_search": pivot_search.query,
 }
 
 ORACLES: dict[str, str] = {
     "op1_warc_normaliser": warc.ORACLE,
     "op2_url_cascade": url_filter.ORACLE,
+    "op10_pivot_search": pivot_search.ORACLE,
 }
