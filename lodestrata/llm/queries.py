@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pivot_search, simhash, url_filter, warc
+from . import decontaminate, language_id, pivot_search, simhash, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_normaliser": warc.query,
     "op2_url_cascade": url_filter.query,
+    "op3_language_id": language_id.query,
     "op5_simhash_components": simhash.query,
+    "op7_decontaminate": decontaminate.query,
     "op10_pivot_search": pivot_search.query,
 }
 
