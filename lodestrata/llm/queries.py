@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, pivot_search, simhash, url_filter, warc
+from . import decontaminate, language_id, pivot_search, quality, simhash, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_normaliser": warc.query,
@@ -14,11 +14,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": language_id.query,
     "op5_simhash_components": simhash.query,
     "op7_decontaminate": decontaminate.query,
+    "op8_quality_subwords": quality.query,
+    "op9_toxicity_compression": toxicity.query,
     "op10_pivot_search": pivot_search.query,
 }
 
 ORACLES: dict[str, str] = {
     "op1_warc_normaliser": warc.ORACLE,
     "op2_url_cascade": url_filter.ORACLE,
+    "op8_quality_subwords": quality.query,
+    "op9_toxicity_compression": toxicity.query,
     "op10_pivot_search": pivot_search.ORACLE,
 }
