@@ -14,7 +14,8 @@ Training, from at most ``SAMPLE`` documents of each label (see :mod:`.samples`),
    documents and ``RATIO`` times as common there as in ordinary ones, with a log-likelihood gain of ``GAIN`` or more. On whole toxic texts zstandard's own training
    picks what is frequent in any text, and the distances tell next to nothing.
 3. The calibration third of the sample, which steps 1 and 2 have not seen, gives a logistic curve over a text's
-   largest distance and the mean of its three largest; labels weigh by their shares among all labelled ids.
+   largest distance, the mean of its three largest, and how many of a hundred words have one of ``STRONG`` or more;
+   labels weigh by their shares among all labelled ids.
 
 Defined results: null text is empty; a text without words has distance zero; with nothing to learn from scores are
 the share of toxic labels, or 0; a null id is neither learned from nor held out; repeated rows are scored alike; an
@@ -48,6 +49,7 @@ UNITS = 200
 LEAST = 0.015
 RATIO = 15.0
 GAIN = 10.0
+STRONG = 4
 LONGEST = 48
 LEAD = 64
 TAIL = bytes(8)
@@ -55,6 +57,7 @@ TAIL = bytes(8)
 KEPT = 200_000
 THRESHOLD = 0.3
 WORD = re.compile(rb"[^\s!-/:-@\[-`{-~]+")
+FEATURES = ("top", "three", "rate")
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -64,7 +67,7 @@ class Model:
 
     ordinary: bytes
     toxic: bytes
-    weights: tuple[float, float, float] | None
+    weights: tuple[float, ...] | None
     prior: float = 0.0
 
 
@@ -107,13 +110,13 @@ class Distances:
             found = self.kept[word] = max(len(self.ordinary(w)) - len(self.toxic(w)) for w in framed)
         return found
 
-    def features(self, text: str) -> tuple[float, float]:
-        """A text's largest distance, and the mean of its three largest."""
+    def features(self, text: str) -> tuple[float, float, float]:
+        """A text's largest distance, the mean of its three largest, and the strong ones among a hundred words."""
         d = np.fromiter(map(self.of, words(text)), np.int64)
         if not len(d):
-            return 0.0, 0.0
+            return 0.0, 0.0, 0.0
         top = np.sort(np.partition(d, -3)[-3:]) if len(d) > 3 else np.sort(d)
-        return float(top[-1]), float(top.sum()) / 3
+        return float(top[-1]), float(top.sum()) / 3, 100.0 * int((d >= STRONG).sum()) / (len(d) + 20)
 
 
 def units(text: str) -> set[str]:
@@ -207,24 +210,24 @@ def fit(sample: DataFrame, totals: list[int]) -> Model:
     known = {s for s in segments}
     segments += [c.strip() for c in chosen if c.strip() not in known and not any(s.startswith(c.strip()) for s in known)]
     toxic = (" " + "  ".join(reversed(segments)) + " ").encode()
-    model = Model(_ordinary_content(part), toxic, (0.0, 0.0, 0.0))
-    calibration = _features(rows.where("fold = 0").select("label", "h", "text"), model, "label int, h long").orderBy("h", "label", "top", "three").collect()
-    return Model(model.ordinary, toxic, _logistic(np.array([(r.label, r.top, r.three) for r in calibration], float).reshape(-1, 3), totals), prior)
+    model = Model(_ordinary_content(part), toxic, (0.0, 0.0, 0.0, 0.0))
+    calibration = _features(rows.where("fold = 0").select("label", "h", "text"), model, "label int, h long").orderBy("h", "label", *FEATURES).collect()
+    return Model(model.ordinary, toxic, _logistic(np.array([(r.label, r.top, r.three, r.rate) for r in calibration], float).reshape(-1, 4), totals), prior)
 
 
-def _logistic(rows: np.ndarray, totals: list[int]) -> tuple[float, float, float] | None:
-    """Weights of both features and a constant, by ridge-damped Newton steps."""
+def _logistic(rows: np.ndarray, totals: list[int]) -> tuple[float, ...]:
+    """Weights of the features and a constant, by ridge-damped Newton steps."""
     y = rows[:, 0]
     if len(set(y.tolist())) < 2:
-        return (2.0, 2.0, -12.0)
+        return (2.0, 2.0, 0.0, -12.0)
     share = np.array([totals[0] / (y == 0).sum(), totals[1] / (y == 1).sum()])
     weight = share[y.astype(int)] / share[y.astype(int)].sum() * len(y)
-    x = np.column_stack([rows[:, 1], rows[:, 2], np.ones(len(y))])
-    w = np.zeros(3)
+    x = np.column_stack([rows[:, 1:], np.ones(len(y))])
+    w = np.zeros(4)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (weight * (p - y)) + 0.1 * w * [1, 1, 0]
-        curve = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag([0.1, 0.1, 1e-6])
+        slope = x.T @ (weight * (p - y)) + 0.1 * w * [1, 1, 1, 0]
+        curve = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag([0.1, 0.1, 0.1, 1e-6])
         step = np.linalg.solve(curve, slope)
         w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
@@ -233,18 +236,18 @@ def _logistic(rows: np.ndarray, totals: list[int]) -> tuple[float, float, float]
 
 
 def _features(rows: DataFrame, model: Model, kept: str) -> DataFrame:
-    """The kept columns of ``rows``, with both features of each text."""
+    """The kept columns of ``rows``, with the features of each text."""
     spark = rows.sparkSession
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distances = Distances(sent.value)
         for batch, texts in each_text(batches, "text"):
-            f = np.array([distances.features(t) for t in texts]).reshape(-1, 2)
+            f = np.array([distances.features(t) for t in texts]).reshape(-1, 3)
             own = [i for i, name in enumerate(batch.schema.names) if name != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in own), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy())], [*(batch.schema.names[i] for i in own), "top", "three"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in own), *map(pa.array, f.T.copy())], [*(batch.schema.names[i] for i in own), *FEATURES])
 
-    return rows.mapInArrow(run, f"{kept}, top double, three double")
+    return rows.mapInArrow(run, ", ".join([kept, *(f"{name} double" for name in FEATURES)]))
 
 
 def score(docs: DataFrame, model: Model, held: Column) -> DataFrame:
@@ -254,9 +257,9 @@ def score(docs: DataFrame, model: Model, held: Column) -> DataFrame:
     if model.weights is None:
         out = rows.select("doc_id", "held_out", F.lit(float(model.prior)).alias("score"))
     else:
-        a, b, c = (float(w) for w in model.weights)
         found = _features(rows, model, "doc_id long, held_out boolean")
-        out = found.select("doc_id", "held_out", (1 / (1 + F.exp(-(a * F.col("top") + b * F.col("three") + c)))).alias("score"))
+        total = sum((F.col(name) * w for name, w in zip(FEATURES, model.weights)), F.lit(model.weights[-1]))
+        out = found.select("doc_id", "held_out", (1 / (1 + F.exp(-total))).alias("score"))
     return out.select("*", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -272,14 +275,14 @@ def remove_toxic(docs: DataFrame, labels: DataFrame, known: Column) -> DataFrame
         return docs if model.prior < THRESHOLD else docs.limit(0)
     bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    a, b, c = model.weights
+    weights = np.array(model.weights)
     limit = float(np.log(THRESHOLD / (1 - THRESHOLD)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distances = Distances(sent.value)
         for batch, texts in each_text(batches, "text"):
-            f = np.array([distances.features(t) for t in texts]).reshape(-1, 2)
-            yield batch.filter(pa.array(a * f[:, 0] + b * f[:, 1] + c < limit))
+            f = np.array([distances.features(t) for t in texts]).reshape(-1, 3)
+            yield batch.filter(pa.array(f @ weights[:-1] + weights[-1] < limit))
 
     return docs.mapInArrow(run, T.StructType(docs.schema.fields))
 
