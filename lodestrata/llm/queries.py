@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, packing, pivot_search, quality, simhash, toxicity, url_filter, warc
+from . import decontaminate, language_id, packing, pii, pivot_search, quality, simhash, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_normaliser": warc.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": language_id.query,
     "op4_histogram_packing": packing.query,
     "op5_simhash_components": simhash.query,
+    "op6_pii_boosting": pii.query,
     "op7_decontaminate": decontaminate.query,
     "op8_quality_subwords": quality.query,
     "op9_toxicity_compression": toxicity.query,
