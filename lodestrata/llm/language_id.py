@@ -1,7 +1,7 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training counts n-grams of 1 to 4 characters in ``2 ** BITS`` buckets for each language. It draws at most
-``SAMPLE`` texts of each language, those first by a hash of id and text, and counts them where they lie: tasks return
+Training counts n-grams of 1 to 4 characters in ``2 ** BITS`` buckets for each language. It draws about
+``SAMPLE`` different texts of each language, by a hash of id and text, and counts them where they lie: tasks return
 sparse (language, bucket, count) rows that a grouped sum merges, so only the bounded count matrix reaches the driver.
 ``LANGUAGES`` bounds that matrix and with it the broadcast of log-probabilities (16 KB * 4 a language at the defaults).
 
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bound_batches, each_text, id_bucket, table
@@ -28,7 +28,7 @@ from .ngrams import char_grams, code_points, parts
 
 BITS = 16
 SIZES = (1, 2, 3, 4)
-#: Texts of each language that are learned from, and languages, at most.
+#: Texts of each language that are learned from, about, and languages, at most.
 SAMPLE = 4000
 LANGUAGES = 1000
 ALPHA = 0.5
@@ -65,15 +65,11 @@ def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
         return [], np.zeros(0), np.zeros((1 << BITS, 0), np.float32)
     langs = [r[0] for r in totals]
     n = np.array([r[1] for r in totals], float)
-    # A share of the hash range that yields about SAMPLE rows of each language, then the exact first SAMPLE of them.
-    share = {lang: min(1.0, 2.0 * SAMPLE / k + 0.001) for lang, k in zip(langs, n)}
-    limits = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
-    drawn = known.withColumn("h", F.xxhash64("doc_id", "text"))
-    drawn = drawn.where(F.pmod("h", F.lit(1_000_003)) < F.element_at(limits, F.col("lang")) * 1_000_003)
-    order = Window.partitionBy("lang").orderBy("h")
-    first = drawn.select("doc_id", "lang", "h").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE)
-    bounds = {r[0]: r[1] for r in first.groupBy("lang").agg(F.max("h")).collect()}
-    chosen = drawn.where(F.col("h") <= F.element_at(F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair]), F.col("lang")))
+    # The share of the hash range that holds about SAMPLE rows of each language; repeated rows count once.
+    share = F.create_map(*[F.lit(x) for lang, k in zip(langs, n) for x in (lang, float(min(1.0, SAMPLE / k)))])
+    drawn = known.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    drawn = drawn.where(F.pmod("h", F.lit(1_000_003)) < F.element_at(share, F.col("lang")) * 1_000_003)
+    chosen = drawn.dropDuplicates(["lang", "h"])
     code = {lang: i for i, lang in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
