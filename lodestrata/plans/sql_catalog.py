@@ -46,8 +46,8 @@ SQL["color_to_byte"] = "SELECT point_idx, cast(greatest(0, least(255, floor(x /
 SQL["up_axis"] = """SELECT CASE WHEN far > 0 THEN 'z' WHEN dz <= 0.78 * least(dx, dy) THEN 'z' WHEN dy <= 0.78 * least(dx, dz) THEN 'y' WHEN dx <= 0.78 * least(dy, dz) THEN 'x' ELSE 'y' END AS axis
 FROM (SELECT max(x) - min(x) AS dx, max(y) - min(y) AS dy, max(z) - min(z) AS dz, sum(CASE WHEN point_idx = 0 AND greatest(abs(x), abs(y), abs(z)) > 10000 THEN 1 ELSE 0 END) AS far FROM {points})"""
 SQL["comment_kv"] = (
-    r"SELECT page_id, lower(regexp_extract(c, '(?i)^(?:BIM_TWIN_)?([a-z_]+)\\s*[:=]', 1)) AS k, trim(regexp_extract(c, '[:=]\\s*(.*)$', 1)) AS v FROM (SELECT page_id, concat(CASE WHEN page_id % 2 = 0 THEN 'BIM_TWIN_' ELSE '' END, 'CRS = ', url) AS c FROM {html_docs})",
-    r"SELECT page_id, lower(regexp_extract(c, '(?i)^(?:BIM_TWIN_)?([a-z_]+)\s*[:=]', 1)) AS k, trim(regexp_extract(c, '[:=]\s*(.*)$', 1)) AS v FROM (SELECT page_id, concat(CASE WHEN page_id % 2 = 0 THEN 'BIM_TWIN_' ELSE '' END, 'CRS = ', url) AS c FROM {html_docs})",
+    r"SELECT page_id, lower(regexp_extract(c, '(?i)^(?:VENDOR_)?([a-z_]+)\\s*[:=]', 1)) AS k, trim(regexp_extract(c, '[:=]\\s*(.*)$', 1)) AS v FROM (SELECT page_id, concat(CASE WHEN page_id % 2 = 0 THEN 'VENDOR_' ELSE '' END, 'CRS = ', url) AS c FROM {html_docs})",
+    r"SELECT page_id, lower(regexp_extract(c, '(?i)^(?:VENDOR_)?([a-z_]+)\s*[:=]', 1)) AS k, trim(regexp_extract(c, '[:=]\s*(.*)$', 1)) AS v FROM (SELECT page_id, concat(CASE WHEN page_id % 2 = 0 THEN 'VENDOR_' ELSE '' END, 'CRS = ', url) AS c FROM {html_docs})",
 )
 SQL["content_sha256"] = ("SELECT doc_id, sha2(text, 256) AS sha FROM {docs}", "SELECT doc_id, sha256(text) AS sha FROM {docs}")
 SQL["cache_key_sha1"] = (
