@@ -9,7 +9,7 @@ from __future__ import annotations
 SQL: dict[str, str | tuple[str, str]] = {}
 
 # Projections and scalar functions -------------------------------------------------------------------------------------
-SQL["las_decode"] = "SELECT point_idx, x_raw * 0.001 + 1000.0 AS x, y_raw * 0.01 - 50.0 AS y, z_raw * 0.001 AS z FROM (SELECT point_idx, cast(floor(x * 1000) AS int) AS x_raw, cast(floor(y * 100) AS int) AS y_raw, cast(floor(z * 1000) AS int) AS z_raw FROM {points})"
+SQL["las_decode"] = "SELECT point_idx, x_raw * cast(0.001 AS double) + 1000 AS x, y_raw * cast(0.01 AS double) - 50 AS y, z_raw * cast(0.001 AS double) AS z FROM (SELECT point_idx, cast(floor(x * 1000) AS int) AS x_raw, cast(floor(y * 100) AS int) AS y_raw, cast(floor(z * 1000) AS int) AS z_raw FROM {points})"
 SQL["global_shift"] = "SELECT p.point_idx, p.x - f.x AS x, p.y - f.y AS y, p.z - f.z AS z FROM {points} p CROSS JOIN (SELECT x, y, z FROM {points} WHERE point_idx = 0) f"
 _BOX = "(SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM {points})"
 SQL["frame_zup_to_yup"] = f"SELECT point_idx, x - (x0 + x1) / 2 AS vx, z - z0 AS vy, -(y - (y0 + y1) / 2) AS vz FROM {{points}} CROSS JOIN {_BOX} b"
@@ -134,8 +134,8 @@ SQL["sync_merge_latest"] = "SELECT room_id, name, src FROM (SELECT *, row_number
 
 # Aggregates -----------------------------------------------------------------------------------------------------------
 SQL["bbox"] = "SELECT scan_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1, (min(x) + max(x)) / 2 AS cx, max(x) - min(x) AS w FROM {points} GROUP BY scan_id"
-SQL["scan_counts"] = "SELECT scan_id, count(*) AS n, sum(CASE WHEN z <> 0 THEN 1 ELSE 0 END) AS valid FROM {points} GROUP BY scan_id"
-SQL["findings_counts"] = "SELECT e.room_id, sum(CASE WHEN f.severity = 'err' THEN 1 ELSE 0 END) AS err, sum(CASE WHEN f.severity = 'warn' THEN 1 ELSE 0 END) AS warn, sum(CASE WHEN f.severity = 'ok' THEN 1 ELSE 0 END) AS ok FROM {findings} f JOIN {elements} e ON f.element_id = e.element_id GROUP BY e.room_id"
+SQL["scan_counts"] = "SELECT scan_id, count(*) AS n, count(CASE WHEN z <> 0 THEN 1 END) AS valid FROM {points} GROUP BY scan_id"
+SQL["findings_counts"] = "SELECT e.room_id, count(CASE WHEN f.severity = 'err' THEN 1 END) AS err, count(CASE WHEN f.severity = 'warn' THEN 1 END) AS warn, count(CASE WHEN f.severity = 'ok' THEN 1 END) AS ok FROM {findings} f JOIN {elements} e ON f.element_id = e.element_id GROUP BY e.room_id"
 SQL["findings_rollup"] = "SELECT f.kind, f.severity, count(*) AS n FROM {findings} f GROUP BY ROLLUP (f.kind, f.severity)"
 SQL["findings_report"] = "SELECT r.floor_id, f.severity, count(*) AS n, min(f.created_at) AS first_at, round(sum(f.weight), 2) AS weight FROM {findings} f JOIN {elements} e ON f.element_id = e.element_id JOIN {rooms} r ON e.room_id = r.room_id GROUP BY r.floor_id, f.severity"
 SQL["strided_stats"] = "SELECT min(x) AS x0, max(x) AS x1, round(avg(x), 6) AS xa, min(y) AS y0, max(y) AS y1, round(avg(y), 6) AS ya, count(*) AS n FROM {points} WHERE point_idx % 37 = 0"
@@ -154,7 +154,7 @@ SQL["dsm_grid"] = "SELECT cast(floor(x / 0.5) AS bigint) AS i, cast(floor(y / 0.
 SQL["dtm_grid"] = "SELECT cast(floor(x / 0.5) AS bigint) AS i, cast(floor(y / 0.5) AS bigint) AS j, min(z) AS z, count(*) AS n FROM {points} WHERE classification = 2 GROUP BY cast(floor(x / 0.5) AS bigint), cast(floor(y / 0.5) AS bigint)"
 _GRID = "(SELECT cast(floor(x / 5) AS bigint) AS i, cast(floor(y / 5) AS bigint) AS j, round(avg(z), 6) AS h FROM {points} GROUP BY cast(floor(x / 5) AS bigint), cast(floor(y / 5) AS bigint))"
 # A level crosses the cell edge from (i, j) to its right or upper neighbour: one end of a contour segment.
-SQL["contour_segments"] = f"SELECT level, i, j, dir, round((level - h) / (h2 - h), 4) AS t FROM (SELECT a.i, a.j, d.dir, a.h, b.h AS h2 FROM {_GRID} a CROSS JOIN (SELECT 0 AS dir, 1 AS di, 0 AS dj UNION ALL SELECT 1, 0, 1) d JOIN {_GRID} b ON b.i = a.i + d.di AND b.j = a.j + d.dj) e CROSS JOIN (SELECT 4.5 AS level UNION ALL SELECT 5.0 UNION ALL SELECT 5.5) l WHERE (h < level AND h2 >= level) OR (h >= level AND h2 < level)"
+SQL["contour_segments"] = f"SELECT level, i, j, dir, round((level - h) / (h2 - h), 4) AS t FROM (SELECT a.i, a.j, d.dir, a.h, b.h AS h2 FROM {_GRID} a CROSS JOIN (SELECT 0 AS dir, 1 AS di, 0 AS dj UNION ALL SELECT 1, 0, 1) d JOIN {_GRID} b ON b.i = a.i + d.di AND b.j = a.j + d.dj) e CROSS JOIN (SELECT cast(4.5 AS double) AS level UNION ALL SELECT 5.0 UNION ALL SELECT 5.5) l WHERE (h < level AND h2 >= level) OR (h >= level AND h2 < level)"
 SQL["section_occupancy"] = "SELECT DISTINCT cast(floor(x / 0.25) AS bigint) AS i, cast(floor(z / 0.25) AS bigint) AS j FROM {points} WHERE abs(y - 25) <= 1"
 SQL["profile_station"] = "SELECT point_idx, round(x * cos(0.6) + y * sin(0.6), 9) AS station, z AS elevation FROM {points} WHERE abs(-x * sin(0.6) + y * cos(0.6)) <= 2"
 # Triangles are three successive points of a scan; each edge that straddles z = 5 gives one end of the cut.
@@ -166,8 +166,8 @@ SQL["hole_fill_cells"] = _HOLE
 SQL["distinct_check"] = "SELECT count(*) AS n, count(DISTINCT element_id) AS elements, count(DISTINCT kind) AS kinds, count(DISTINCT part_id) AS parts FROM {findings}"
 
 # Windows, order, sets, nested values, streams ---------------------------------------------------------------------------
-SQL["scan_offsets"] = "SELECT scan_id, n, coalesce(sum(n) OVER (ORDER BY scan_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_idx FROM (SELECT scan_id, count(*) AS n FROM {points} GROUP BY scan_id) u"
-SQL["prefix_offsets"] = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, coalesce(sum(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_shipdate, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS byte_offset FROM {raw_points}"
+SQL["scan_offsets"] = "SELECT scan_id, n, cast(coalesce(sum(n) OVER (ORDER BY scan_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS first_idx FROM (SELECT scan_id, count(*) AS n FROM {points} GROUP BY scan_id) u"
+SQL["prefix_offsets"] = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, cast(coalesce(sum(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_shipdate, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS byte_offset FROM {raw_points}"
 SQL["latest_per_key"] = "SELECT project, event_id, operation FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY event_id DESC) AS rn FROM {operations}) u WHERE rn = 1"
 SQL["revision_undo_redo"] = "SELECT project, event_id, lag(event_id) OVER (PARTITION BY project ORDER BY event_id) AS undo_to, lead(event_id) OVER (PARTITION BY project ORDER BY event_id) AS redo_to FROM {operations}"
 SQL["version_history"] = "SELECT doc_id, room_id, dense_rank() OVER (PARTITION BY room_id, name ORDER BY version) AS rev FROM {docs}"
