@@ -70,3 +70,38 @@ def test_long_chains_are_one_component(spark):
     labels = {r.node: r.label for r in connected(links).collect()}
     assert all(labels[i] == 0 for i in range(201)) and labels[501] == 500
     assert connected(links.limit(0)).count() == 0
+
+
+def shingle_set(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+
+def test_deduplicate_finds_all_pairs_of_similar_shingles(make_docs):
+    rnd = random.Random(9)
+    texts = {}
+    for i in range(120):
+        w = [f"w{rnd.randint(0, 400)}" for _ in range(rnd.randint(60, 300))]
+        texts[2 * i] = " ".join(w)
+        for at in rnd.sample(range(len(w)), rnd.randint(0, len(w) // 25)):
+            w[at] = "edited"
+        texts[2 * i + 1] = " ".join(w)
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    up = {i: i for i in texts}
+    for i in texts:
+        for j in texts:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = up[i], up[j]
+                up = {k: min(a, b) if v in (a, b) else v for k, v in up.items()}
+    kept = sorted(r.doc_id for r in simhash.deduplicate(make_docs(list(texts.items()))).collect())
+    assert kept == sorted(set(up.values())) and 125 < len(kept) < 220
+
+
+def test_members_of_a_band_that_the_first_does_not_link_are_compared(make_docs, monkeypatch):
+    monkeypatch.setattr(simhash, "BANDS", 64)
+    monkeypatch.setattr(simhash, "ROWS", 2)
+    rnd = random.Random(12)
+    w = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(w[:140] + [f"v{i}" for i in range(60)])), (1, " ".join(w)), (2, " ".join(w[:-1] + ["other"]))]
+    rows += [(10 + i, " ".join(f"x{rnd.randint(0, 999)}" for _ in range(50))) for i in range(5)]
+    assert sorted(r.doc_id for r in simhash.deduplicate(make_docs(rows)).collect()) == [0, 1, 10, 11, 12, 13, 14]
