@@ -27,8 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bound_batches, each_text, splitmix, table
 
@@ -124,21 +126,25 @@ class Items:
                 yield i, len(item), shared
 
 
+def _blocks(items: DataFrame) -> Iterator[Broadcast]:
+    """The items, in blocks of about ``BLOCK`` rows, as broadcasts."""
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    blocks = max(1, -(-items.count() // BLOCK))
+    for block in range(blocks):
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        held = part.collect()
+        yield items.sparkSession.sparkContext.broadcast(Items([r[0] for r in held], [r[1] or "" for r in held]))
+
+
 def contamination(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document row and item row whose containment is at least the threshold.
 
     ``docs`` has doc_id and text, ``items`` item_id and text.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    blocks = max(1, -(-items.count() // BLOCK))
     found = None
-    for block in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        held = part.collect()
-        sent = spark.sparkContext.broadcast(Items([r[0] for r in held], [r[1] or "" for r in held]))
+    for sent in _blocks(items):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = sent.value
@@ -155,9 +161,18 @@ def contamination(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that contain no item; a row with a null id counts with all others that have none."""
-    bad = contamination(docs, items, threshold).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """The rows of ``docs`` that contain no item; each row is judged by its own text, whatever its id."""
+    bound_batches(docs.sparkSession)
+    out = docs
+    for sent in _blocks(items):
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            items = sent.value
+            for batch, texts in each_text(batches, "text"):
+                yield batch.filter(pa.array([next(items.contained(t, threshold), None) is None for t in texts], pa.bool_()))
+
+        out = out.mapInArrow(run, T.StructType(docs.schema.fields))
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,3 +55,10 @@ def test_blocks_of_items(spark, make_docs, monkeypatch):
 def test_permutations_differ():
     h = np.arange(1, 1000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     assert len(set(d.permuted(h, d.salts()).argmin(axis=1).tolist())) > 50
+
+
+def test_rows_are_judged_one_by_one(spark, make_docs):
+    leak = "the item has these seven words inside"
+    docs = [(None, f"before {leak} after"), (None, "a clean text without an id"), (5, f"{leak} again"), (5, "a clean text with the same id"), (6, "more text")]
+    kept = d.decontaminate(make_docs(docs), spark.createDataFrame([(1, leak)], "item_id long, text string"))
+    assert sorted(r.text for r in kept.collect()) == sorted([docs[1][1], docs[3][1], docs[4][1]])

@@ -105,3 +105,16 @@ def test_members_of_a_band_that_the_first_does_not_link_are_compared(make_docs,
     rows = [(0, " ".join(w[:140] + [f"v{i}" for i in range(60)])), (1, " ".join(w)), (2, " ".join(w[:-1] + ["other"]))]
     rows += [(10 + i, " ".join(f"x{rnd.randint(0, 999)}" for _ in range(50))) for i in range(5)]
     assert sorted(r.doc_id for r in simhash.deduplicate(make_docs(rows)).collect()) == [0, 1, 10, 11, 12, 13, 14]
+
+
+def test_null_and_repeated_ids_drop_no_other_text(make_docs):
+    a, b, c, e, f = (" ".join(f"{k}{i}" for i in range(30)) for k in "abcef")
+    rows = [(1, a), (None, a), (None, b), (2, c), (2, e), (3, c), (None, f), (None, f)]
+    kept = [(r.doc_id, r.text) for r in simhash.deduplicate(make_docs(rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (None, b), (2, c), (2, e), (None, f)], key=str)
+
+
+def test_a_class_without_an_id_connects_others(make_docs, monkeypatch):
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs.selectExpr("doc_id", "cast(case text when 'a' then 0 when 'b' then 7 else 63 end as long) as fp"))
+    found = simhash.near_duplicates(make_docs([(4, "a"), (None, "b"), (9, "c")])).collect()
+    assert {r.component_id for r in found} == {4}
