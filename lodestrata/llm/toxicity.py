@@ -11,7 +11,8 @@ Training, from at most ``SAMPLE`` documents of each label (see :mod:`.samples`),
 
 1. The ordinary dictionary is trained by zstandard on stretches of ordinary texts.
 2. The toxic text is reduced to segments: words and beginnings of words that are in at least ``LEAST`` of the toxic
-   documents and ``RATIO`` times as common there as in ordinary ones, with a log-likelihood gain of ``GAIN`` or more. On whole toxic texts zstandard's own training
+   documents and ``RATIO`` times as common there as in ordinary ones, with a log-likelihood gain of ``GAIN`` or more. If
+   there are none, the words of the highest gain that no ordinary document has, whatever their share. On whole toxic texts zstandard's own training
    picks what is frequent in any text, and the distances tell next to nothing.
 3. The calibration third of the sample, which steps 1 and 2 have not seen, gives a logistic curve over a text's
    largest distance, the mean of its three largest, and how many of a hundred words have one of ``STRONG`` or more;
@@ -19,11 +20,12 @@ Training, from at most ``SAMPLE`` documents of each label (see :mod:`.samples`),
 
 Defined results: null text is empty; a text without words has distance zero; with nothing to learn from scores are
 the share of toxic labels, or 0; a null id is neither learned from nor held out; repeated rows are scored alike; an
-empty table gives an empty result; further columns are ignored.
+empty table gives an empty result; further columns are ignored. Such a share alone rejects no document in :func:`remove_toxic`.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -56,6 +58,7 @@ TAIL = bytes(8)
 #: Distances that a worker keeps.
 KEPT = 200_000
 THRESHOLD = 0.3
+LIMIT = math.log(THRESHOLD / (1 - THRESHOLD))
 WORD = re.compile(rb"[^\s!-/:-@\[-`{-~]+")
 FEATURES = ("top", "three", "rate")
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
@@ -185,10 +188,11 @@ def fit(sample: DataFrame, totals: list[int]) -> Model:
     bound_batches(sample.sparkSession)
     prior = totals[1] / sum(totals) if sum(totals) else 0.0
     rows = _distinct(sample)
-    part = rows.where("fold > 0")
-    n = {r[0]: r[1] for r in part.groupBy("label").count().collect()}
-    if len(n) < 2:
+    tally = {(r["label"], r["learns"]): r["n"] for r in rows.groupBy("label", (F.col("fold") > 0).alias("learns")).agg(F.count("*").alias("n")).collect()}
+    n = {k: tally.get((k, True), 0) for k in (0, 1)}
+    if not n[0] or not n[1]:
         return Model(b" " * LEAD, b"", None, prior)
+    part = rows.where("fold > 0")
     counts = _unit_counts(part)
     a, b, t, o = F.col("toxic").cast("double"), F.col("ordinary").cast("double"), float(n[1]), float(n[0])
     both = (a + b) / (t + o)
@@ -197,12 +201,18 @@ def fit(sample: DataFrame, totals: list[int]) -> Model:
         return k * F.log(F.greatest(p, F.lit(1e-12))) + (m - k) * F.log(F.greatest(1 - p, F.lit(1e-12)))
 
     gain = fit_to(a, t, a / t) + fit_to(b, o, b / o) - fit_to(a, t, both) - fit_to(b, o, both)
-    marked = counts.where((a >= max(3.0, LEAST * t)) & (a / t >= RATIO * (b + 0.5) / o) & (gain >= GAIN))
-    chosen: list[str] = []
-    for (unit,) in marked.orderBy(gain.desc(), "unit").select("unit").limit(20 * UNITS).collect():
-        if not any(unit.startswith(c) or c.startswith(unit) for c in chosen):
-            chosen.append(unit)
-    chosen = chosen[:UNITS]
+    def ranked(units: DataFrame) -> list[str]:
+        chosen: list[str] = []
+        for (unit,) in units.orderBy(gain.desc(), "unit").select("unit").limit(20 * UNITS).collect():
+            if not any(unit.startswith(c) or c.startswith(unit) for c in chosen):
+                chosen.append(unit)
+        return chosen[:UNITS]
+
+    chosen = ranked(counts.where((a >= max(3.0, LEAST * t)) & (a / t >= RATIO * (b + 0.5) / o) & (gain >= GAIN)))
+    calibrates = all(tally.get((k, False)) for k in (0, 1))
+    if not chosen and calibrates:
+        # A wide vocabulary or few labels: the best units whatever their share, as calibration tells what they are worth.
+        chosen = ranked(counts.where((b == 0) & F.col("unit").endswith(" ")))
     if not chosen:
         return Model(b" " * LEAD, b"", None, prior)
     is_segment = F.col("unit").endswith(" ") & F.array_contains(F.transform(F.array(*map(F.lit, chosen)), lambda c: F.startswith(F.col("unit"), c)), True)
@@ -212,7 +222,9 @@ def fit(sample: DataFrame, totals: list[int]) -> Model:
     toxic = (" " + "  ".join(reversed(segments)) + " ").encode()
     model = Model(_ordinary_content(part), toxic, (0.0, 0.0, 0.0, 0.0))
     calibration = _features(rows.where("fold = 0").select("label", "h", "text"), model, "label int, h long").orderBy("h", "label", *FEATURES).collect()
-    return Model(model.ordinary, toxic, _logistic(np.array([(r.label, r.top, r.three, r.rate) for r in calibration], float).reshape(-1, 4), totals), prior)
+    weights = _logistic(np.array([(r.label, r.top, r.three, r.rate) for r in calibration], float).reshape(-1, 4), totals)
+    # A text in which nothing is nearer to the toxic dictionary is not toxic, however common toxic labels are.
+    return Model(model.ordinary, toxic, (*weights[:-1], min(weights[-1], LIMIT - 1e-6)), prior)
 
 
 def _logistic(rows: np.ndarray, totals: list[int]) -> tuple[float, ...]:
@@ -269,20 +281,19 @@ def model_of(docs: DataFrame, labels: DataFrame, known: Column) -> Model:
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, known: Column) -> DataFrame:
-    """The rows of ``docs`` whose text is not predicted toxic."""
+    """The rows of ``docs`` whose text is not predicted toxic; all of them where there was nothing to learn from."""
     model = model_of(docs, labels, known)
     if model.weights is None:
-        return docs if model.prior < THRESHOLD else docs.limit(0)
+        return docs
     bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     weights = np.array(model.weights)
-    limit = float(np.log(THRESHOLD / (1 - THRESHOLD)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distances = Distances(sent.value)
         for batch, texts in each_text(batches, "text"):
             f = np.array([distances.features(t) for t in texts]).reshape(-1, 3)
-            yield batch.filter(pa.array(f @ weights[:-1] + weights[-1] < limit))
+            yield batch.filter(pa.array(f @ weights[:-1] + weights[-1] < LIMIT))
 
     return docs.mapInArrow(run, T.StructType(docs.schema.fields))
 

@@ -66,3 +66,31 @@ def test_nothing_to_learn_from(spark, make_docs):
     none = labels.limit(0)
     assert all(r.score == 0.5 for r in quality.score(docs, quality.fit(*labelled(docs, none, "quality", F.lit(True), (5, 5))), F.lit(False)).collect())
     assert toxicity.remove_toxic(make_docs([]), none, F.lit(True)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def wide(spark, make_docs):
+    """Two in five documents are toxic, each by one of many words."""
+    rnd = random.Random(11)
+    bad = ["".join(rnd.choice("bcdfghjklmnpqrstvwxz") + rnd.choice("aeiou") for _ in range(5)) for _ in range(160)]
+    docs, labels = [], []
+    for i in range(1000):
+        w = [rnd.choice(STEMS) + rnd.choice(["", "s", "ing", "ly"]) for _ in range(rnd.randint(8, 60))]
+        if i % 5 < 2:
+            w.insert(rnd.randint(0, len(w)), bad[i // 5 * 2 % 160 + i % 5])
+        docs.append((i, " ".join(w)))
+        labels.append((i, 1, int(i % 5 < 2)))
+    return make_docs(docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_wide_toxic_vocabulary_rejects_toxic_documents_alone(wide):
+    docs, labels = wide
+    kept = {r.doc_id for r in toxicity.remove_toxic(docs, labels, id_bucket(F.col("doc_id"), 4) != 2).collect()}
+    clean, toxic = {i for i in range(1000) if i % 5 > 1}, {i for i in range(1000) if i % 5 < 2}
+    assert len(clean & kept) > 0.98 * len(clean) and len(toxic & kept) < 0.5 * len(toxic)
+
+
+def test_a_prior_alone_rejects_nothing(spark, make_docs):
+    docs = make_docs([(1, "some text"), (2, "more of it"), (3, "and more")])
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.remove_toxic(docs, labels, F.lit(True)).count() == 3
