@@ -13,6 +13,8 @@ from ..operators.indexing import order_statistics
 from ..operators.spatial import k_nearest
 from .fixtures import view
 
+#: Points of a robust range: every ceil(n / RANGE_POINTS)-th.
+RANGE_POINTS = 50_000
 STRIDE = 16
 RADIUS = 0.08
 CELL = 0.06
@@ -40,7 +42,9 @@ def percentile_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def robust_axis_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points, out = view(spark, sf_dir, "points").where("point_idx % 3 = 0"), None
+    points, out = view(spark, sf_dir, "points"), None
+    stride = max(1, -(-points.count() // RANGE_POINTS))
+    points = points.where(F.col("point_idx") % stride == 0)
     for axis in "xyz":
         row = order_statistics(points, axis, {"a": 0.005, "b": 0.995}).select(F.lit(axis).alias("axis"), (F.col("b") - F.col("a")).alias("extent"))
         out = row if out is None else out.unionByName(row)
@@ -154,7 +158,7 @@ ORACLES: dict[str, str] = {
     "sample_budget": f"SELECT point_idx, x, y, z FROM {_OFFSET.replace('@w', 'floor(point_idx / 16)')} WHERE point_idx - w * 16 = o",
     "sample_hash": f"SELECT point_idx, o AS kept_offset FROM {_OFFSET.replace('@w', 'point_idx')}",
     "percentile_stats": "SELECT axis, " + ", ".join(f"{_at(p)} AS {k}" for k, p in SHARES.items()) + f" FROM ({_ALL}) GROUP BY axis",
-    "robust_axis_range": f"SELECT axis, {_at(0.995)} - {_at(0.005)} AS extent FROM (" + " UNION ALL ".join("SELECT * FROM " + _RANK.format(a, "(SELECT * FROM {points} WHERE point_idx % 3 = 0)") for a in ("x", "y", "z")) + ") GROUP BY axis",
+    "robust_axis_range": f"SELECT axis, {_at(0.995)} - {_at(0.005)} AS extent FROM (" + " UNION ALL ".join("SELECT * FROM " + _RANK.format(a, "(SELECT * FROM {points} WHERE point_idx % (SELECT greatest(1, CAST(ceil(count(*) / 50000.0) AS BIGINT)) FROM {points}) = 0)") for a in ("x", "y", "z")) + ") GROUP BY axis",
     "robust_floor": f"SELECT {_at(0.05)} AS floor_z FROM {_RANK.format('z', '{points}')}",
     "floater_share": f"WITH m AS (SELECT (SELECT {_at(0.5)} FROM {_RANK.format('x', '{points}')}) AS mx, (SELECT {_at(0.5)} FROM {_RANK.format('y', '{points}')}) AS my), d AS (SELECT sqrt((x - mx) * (x - mx) + (y - my) * (y - my)) AS d FROM {{points}}, m), q AS (SELECT {_at(0.5)} AS p50 FROM (SELECT d AS v, row_number() OVER (ORDER BY d) - 1 AS r, count(*) OVER () AS n FROM d)) SELECT max(p50) AS p50, count(CASE WHEN d > 2 * p50 THEN 1 END) AS floaters, count(*) AS n FROM d, q",
     "knn_self": f"SELECT id, other, CAST(rank AS INTEGER) AS rank, round(d2, 9) AS d2 FROM {_KNN} WHERE rank <= 4",

@@ -54,7 +54,7 @@ SQL["cache_key_sha1"] = (
     "SELECT page_id, substring(sha1(concat_ws('|', url, cast(length(html) AS string), 'lod')), 1, 16) AS cache_key FROM {html_docs}",
     "SELECT page_id, substring(sha1(concat_ws('|', url, cast(length(html) AS varchar), 'lod')), 1, 16) AS cache_key FROM {html_docs}",
 )
-SQL["xml_entities"] = "SELECT page_id, replace(replace(replace(replace(replace(s, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&amp;', '&') AS decoded FROM (SELECT page_id, replace(replace(replace(substring(html, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS s FROM {html_docs})".replace("''''", "chr(39)")
+SQL["xml_entities"] = "SELECT page_id, replace(replace(replace(replace(replace(s, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&amp;', '&') AS decoded FROM (SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS s FROM {html_docs})".replace("''''", "chr(39)")
 SQL["filename_sanitize"] = (
     r"SELECT page_id, substring(regexp_replace(url, '[^\\w.\\-]+', '_'), 1, 120) AS file FROM {html_docs}",
     r"SELECT page_id, substring(regexp_replace(url, '[^\w.\-]+', '_', 'g'), 1, 120) AS file FROM {html_docs}",
@@ -75,10 +75,10 @@ SQL["doc_binary_sniff"] = (
     r"SELECT doc_id, instr(head, chr(0)) > 0 OR length(regexp_replace(head, '[^\\x01-\\x08\\x0e-\\x1f]', '')) >= 0.1 * length(head) AS is_binary FROM (SELECT doc_id, substring(text, 1, 8192) AS head FROM {docs})",
     r"SELECT doc_id, contains(head, chr(0)) OR length(regexp_replace(head, '[^\x01-\x08\x0e-\x1f]', '', 'g')) >= 0.1 * length(head) AS is_binary FROM (SELECT doc_id, substring(text, 1, 8192) AS head FROM {docs})",
 )
-SQL["polyline_explode"] = "SELECT poly, i, x AS x0, y AS y0, coalesce(lead(x) OVER (PARTITION BY poly ORDER BY i, x, y), first_value(x) OVER (PARTITION BY poly ORDER BY i, x, y)) AS x1, coalesce(lead(y) OVER (PARTITION BY poly ORDER BY i, x, y), first_value(y) OVER (PARTITION BY poly ORDER BY i, x, y)) AS y1 FROM (SELECT l_orderkey AS poly, l_linenumber AS i, x, y FROM {raw_points} WHERE l_orderkey % 5 = 0)"
+SQL["polyline_explode"] = "SELECT poly, i, x AS x0, y AS y0, coalesce(lead(x) OVER (PARTITION BY poly ORDER BY i, x, y), first_value(x) OVER (PARTITION BY poly ORDER BY i, x, y)) AS x1, coalesce(lead(y) OVER (PARTITION BY poly ORDER BY i, x, y), first_value(y) OVER (PARTITION BY poly ORDER BY i, x, y)) AS y1 FROM (SELECT l_orderkey AS poly, l_linenumber AS i, x, y FROM {raw_points})"
 SQL["ellipse_tessellate"] = (
-    "SELECT room_id, k, round(r * cos(2 * pi() * k / 48), 6) AS x, round(r / 2 * sin(2 * pi() * k / 48), 6) AS y FROM (SELECT room_id, abs(area) AS r FROM {rooms} WHERE room_id % 10 = 0) LATERAL VIEW explode(sequence(0, 48)) e AS k",
-    "SELECT room_id, CAST(k AS INTEGER) AS k, round(r * cos(2 * pi() * k / 48), 6) AS x, round(r / 2 * sin(2 * pi() * k / 48), 6) AS y FROM (SELECT room_id, abs(area) AS r FROM {rooms} WHERE room_id % 10 = 0), range(0, 49) t(k)",
+    "SELECT room_id, k, round(r * cos(2 * pi() * k / 48), 6) AS x, round(r / 2 * sin(2 * pi() * k / 48), 6) AS y FROM (SELECT room_id, abs(area) AS r FROM {rooms}) LATERAL VIEW explode(sequence(0, 48)) e AS k",
+    "SELECT room_id, CAST(k AS INTEGER) AS k, round(r * cos(2 * pi() * k / 48), 6) AS x, round(r / 2 * sin(2 * pi() * k / 48), 6) AS y FROM (SELECT room_id, abs(area) AS r FROM {rooms}), range(0, 49) t(k)",
 )
 
 # Filters --------------------------------------------------------------------------------------------------------------
@@ -129,7 +129,7 @@ SQL["null_safe_join"] = (
 )
 SQL["upsert_by_key"] = "SELECT coalesce(n.cloud_id, o.cloud_id) AS cloud_id, coalesce(n.labels, o.labels) AS labels, coalesce(o.revision, 0) + CASE WHEN n.cloud_id IS NULL THEN 0 ELSE 1 END AS revision FROM (SELECT part_id AS cloud_id, count(*) AS labels, 3 AS revision FROM {findings} WHERE part_id % 2 = 0 GROUP BY part_id) o FULL OUTER JOIN (SELECT part_id AS cloud_id, max(kind) AS labels FROM {findings} WHERE part_id % 3 = 0 GROUP BY part_id) n ON o.cloud_id = n.cloud_id"
 SQL["snapshot_diff"] = "SELECT n.project, n.last, CASE WHEN o.project IS NULL THEN 'new' ELSE 'newer' END AS change FROM (SELECT project, max(event_id) AS last FROM {operations} GROUP BY project) n LEFT JOIN (SELECT project, max(event_id) AS last FROM {operations} WHERE event_id % 5 < 2 GROUP BY project) o ON n.project = o.project WHERE o.project IS NULL OR n.last > o.last"
-SQL["rule_cross"] = "SELECT e.element_id, r.rule, CASE WHEN e.cost > r.bound THEN 'warn' ELSE 'ok' END AS result FROM {elements} e CROSS JOIN (SELECT 'cheap' AS rule, 50000.0 AS bound UNION ALL SELECT 'dear', 200000.0) r WHERE e.element_id % 10 = 0"
+SQL["rule_cross"] = "SELECT e.element_id, r.rule, CASE WHEN e.cost > r.bound THEN 'warn' ELSE 'ok' END AS result FROM {elements} e CROSS JOIN (SELECT 'cheap' AS rule, 50000.0 AS bound UNION ALL SELECT 'dear', 200000.0) r"
 SQL["sync_merge_latest"] = "SELECT room_id, name, src FROM (SELECT *, row_number() OVER (PARTITION BY room_id ORDER BY src DESC) AS rn FROM (SELECT room_id, name, 1 AS src FROM {rooms} UNION ALL SELECT room_id, concat(name, ' (copy)') AS name, 2 AS src FROM {rooms} WHERE room_id % 3 = 0) u1) u2 WHERE rn = 1"
 
 # Aggregates -----------------------------------------------------------------------------------------------------------

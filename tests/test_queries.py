@@ -47,3 +47,22 @@ def test_query_equals_sql(name, spark, duck):
 
 def test_each_query_has_sql():
     assert set(catalog.queries()) == set(SQL)
+
+
+def test_queries_take_all_rows_of_their_tables(spark, duck):
+    def count(sql):
+        return duck.execute(sql).fetchone()[0]
+
+    taken = {name: catalog.queries()[name](spark, SF) for name in ("polyline_explode", "ellipse_tessellate", "rule_cross", "xml_entities")}
+    assert taken["polyline_explode"].count() == count("SELECT count(*) FROM lineitem")
+    assert taken["ellipse_tessellate"].count() == 49 * count("SELECT count(*) FROM customer")
+    assert taken["rule_cross"].count() == 2 * count("SELECT count(*) FROM orders")
+    assert taken["xml_entities"].selectExpr("sum(length(decoded))").first()[0] == count("SELECT sum(length(html)) FROM pages")
+
+
+def test_robust_range_of_few_points_takes_each(spark, duck):
+    found = {r.axis: r.extent for r in catalog.queries()["robust_axis_range"](spark, SF).collect()}
+    assert duck.execute("SELECT count(*) FROM lineitem").fetchone()[0] < 50_000
+    for axis, column in (("x", "l_extendedprice / 1000"), ("y", "l_quantity"), ("z", "l_discount * 100")):
+        v = sorted(float(r[0]) for r in duck.execute(f"SELECT {column} FROM lineitem").fetchall())
+        assert found[axis] == pytest.approx(v[int((len(v) - 1) * 0.995)] - v[int((len(v) - 1) * 0.005)])
