@@ -24,7 +24,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_warc_normaliser": warc.ORACLE,
     "op2_url_cascade": url_filter.ORACLE,
-    "op8_quality_subwords": quality.query,
-    "op9_toxicity_compression": toxicity.query,
     "op10_pivot_search": pivot_search.ORACLE,
 }

@@ -66,3 +66,9 @@ def test_robust_range_of_few_points_takes_each(spark, duck):
     for axis, column in (("x", "l_extendedprice / 1000"), ("y", "l_quantity"), ("z", "l_discount * 100")):
         v = sorted(float(r[0]) for r in duck.execute(f"SELECT {column} FROM lineitem").fetchall())
         assert found[axis] == pytest.approx(v[int((len(v) - 1) * 0.995)] - v[int((len(v) - 1) * 0.005)])
+
+
+def test_each_oracle_is_sql():
+    import __spark_entry__
+
+    assert all(isinstance(sql, str) for sql in __spark_entry__.oracle_sql().values())
