@@ -1,12 +1,12 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training counts n-grams of 1 to 4 characters in ``2 ** BITS`` buckets for each language. It draws at most
-``SAMPLE`` texts of each language, those first by a hash of id and text, and counts them where they lie: tasks return
+Training counts n-grams of 1 to 4 characters in ``2 ** BITS`` buckets for each language. It draws about
+``SAMPLE`` texts of each language (all, if fewer), by a hash of id and text, and counts them where they lie: tasks return
 sparse (language, bucket, count) rows that a grouped sum merges, so only the bounded count matrix reaches the driver.
-``LANGUAGES`` bounds that matrix and with it the broadcast of log-probabilities (16 KB * 4 a language at the defaults).
+``LANGUAGES`` bounds that matrix and with it the broadcast of log-probabilities (256 KB a language at the defaults).
 
-A text is scored whole: the counts of its buckets times the log-probability matrix, for a batch of texts as sparse
-rows. The score is the posterior of the language predicted.
+A text is scored whole: the rows of the log-probability matrix at its buckets are summed, for the texts of a batch at once
+and in bounded parts: the product of sparse counts with the matrix. The score is the posterior of the language predicted.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, and so is every text if nothing was
 learned; ties go to the first language in order of code points; a null id is neither learned from nor held out; repeated
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bound_batches, each_text, id_bucket, table
@@ -28,9 +28,12 @@ from .ngrams import char_grams, code_points, parts
 
 BITS = 16
 SIZES = (1, 2, 3, 4)
-#: Texts of each language that are learned from, and languages, at most.
+#: Texts of each language that are learned from, about; languages, at most.
 SAMPLE = 4000
 LANGUAGES = 1000
+DRAWS = 1_000_000_007
+#: Log-probabilities that are gathered at once.
+GATHER = 1 << 21
 ALPHA = 0.5
 UNKNOWN = "und"
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -65,15 +68,11 @@ def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
         return [], np.zeros(0), np.zeros((1 << BITS, 0), np.float32)
     langs = [r[0] for r in totals]
     n = np.array([r[1] for r in totals], float)
-    # A share of the hash range that yields about SAMPLE rows of each language, then the exact first SAMPLE of them.
-    share = {lang: min(1.0, 2.0 * SAMPLE / k + 0.001) for lang, k in zip(langs, n)}
+    # A share of the hash range that yields about SAMPLE rows of each language: no sort, and no task that holds a language.
+    share = {lang: min(1.0, SAMPLE / k) for lang, k in zip(langs, n)}
     limits = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
-    drawn = known.withColumn("h", F.xxhash64("doc_id", "text"))
-    drawn = drawn.where(F.pmod("h", F.lit(1_000_003)) < F.element_at(limits, F.col("lang")) * 1_000_003)
-    order = Window.partitionBy("lang").orderBy("h")
-    first = drawn.select("doc_id", "lang", "h").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE)
-    bounds = {r[0]: r[1] for r in first.groupBy("lang").agg(F.max("h")).collect()}
-    chosen = drawn.where(F.col("h") <= F.element_at(F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair]), F.col("lang")))
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(DRAWS))
+    chosen = known.where(drawn < F.element_at(limits, F.col("lang")) * DRAWS)
     code = {lang: i for i, lang in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,21 +107,53 @@ def predict(docs: DataFrame, model: tuple, held_out: int = 1, folds: int = 3) ->
         for batch, texts in each_text(batches, "text"):
             best, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             known = [i for i, t in enumerate(texts) if langs and has_letter(t)]
-            for i in known:
-                total = _log_sum(texts[i], logp) + prior
-                weight = np.exp(total - total.max())
-                top = int(total.argmax())
-                best[i], score[i] = langs[top], weight[top] / weight.sum()
+            total = log_sums([texts[i] for i in known], logp) + prior
+            weight = np.exp(total - total.max(axis=1, keepdims=True)) if known else total
+            for i, w, top in zip(known, weight, weight.argmax(axis=1) if known else []):
+                best[i], score[i] = langs[top], w[top] / w.sum()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(best), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     return rows.mapInArrow(run, PREDICTED)
 
 
-def _log_sum(text: str, logp: np.ndarray) -> np.ndarray:
-    """Sum of the log-probabilities of the text's n-grams, by language: its sparse counts times the matrix."""
-    c = counts(text)
-    at = np.flatnonzero(c)
-    return c[at].astype(np.float64) @ logp[at].astype(np.float64)
+def grams(text: str) -> Iterator[np.ndarray]:
+    """Buckets of all n-grams of a text, in bounded parts; see :func:`counts`."""
+    text = f" {' '.join(text.lower().split())} "
+    overlap = SIZES[-1] - 1
+    for i, part in enumerate(parts(text, overlap)):
+        codes = code_points(part)
+        if not i:
+            yield char_grams(codes, SIZES, BITS)
+        else:
+            for size in SIZES:
+                yield char_grams(codes, (size,), BITS)[max(0, overlap - size + 1) :]
+
+
+def log_sums(texts: list[str], logp: np.ndarray) -> np.ndarray:
+    """(text, language): sums of the log-probabilities of the texts' n-grams."""
+    out = np.zeros((len(texts), logp.shape[1]))
+    most = max(1, GATHER // max(1, logp.shape[1]))
+    held: list[np.ndarray] = []
+    rows: list[int] = []
+    size = 0
+
+    def add() -> None:
+        starts = np.cumsum([0, *map(len, held[:-1])])
+        np.add.at(out, rows, np.add.reduceat(logp[np.concatenate(held)], starts, axis=0, dtype=np.float64))
+
+    for i, text in enumerate(texts):
+        for part in grams(text):
+            for at in range(0, len(part), most):
+                piece = part[at : at + most]
+                if held and size + len(piece) > most:
+                    add()
+                    held, rows, size = [], [], 0
+                held.append(piece)
+                rows.append(i)
+                size += len(piece)
+    if held:
+        add()
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

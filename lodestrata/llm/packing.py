@@ -3,7 +3,7 @@
 Documents are encoded and cut where a sequence is full, so all pieces but a document's last are whole sequences. The
 histogram of piece lengths, at most ``LENGTH`` numbers, goes to the driver. There lengths are placed longest first, all
 pieces of a length at once: they join the shortest packs with room for them, and the counts of packing patterns are
-updated; what finds no room opens new packs. The patterns say, for each length, which ranks among the pieces of that
+updated; what finds no room opens new packs, as many to a pack as it holds. The patterns say, for each length, which ranks among the pieces of that
 length go to which sequence and offset. Their number depends on ``LENGTH`` alone, and so does the broadcast.
 
 A piece's rank among those of its length is its rank within its partition, known when it was written, plus the number of
@@ -60,8 +60,11 @@ def pack(histogram: dict[int, int], length: int = LENGTH) -> list[Pattern]:
                 del open_[room]
             if not left:
                 break
-        if left:
-            put(left, (size,), length - size)
+        each = length // size  # a new pack has room for more of the same length, and is then the shortest with room
+        if left >= each:
+            put(left // each, (size,) * each, length - size * each)
+        if left % each:
+            put(1, (size,) * (left % each), length - size * (left % each))
     return full + [p for room in sorted(open_) for p in open_[room]]
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bound_batches, each_text, id_bucket, table
-from .ngrams import char_grams, code_points, mixed
+from .ngrams import SPAN, char_grams, code_points, mixed, parts
 from .samples import labelled
 
 BITS = 17
@@ -35,8 +35,6 @@ SAMPLE = 2000
 EPOCHS = 5
 RATE = 20.0
 THRESHOLD = 0.3
-#: Characters whose features are hashed at once.
-SPAN = 1 << 18
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 _POWERS = np.cumprod(np.full(64, 0x01000193, np.uint64)).astype(np.uint32)
 _MASK = np.uint32((1 << BITS) - 1)
@@ -64,14 +62,33 @@ def repeats(words: np.ndarray) -> np.ndarray:
     return mixed(pattern) & _MASK
 
 
+def word_parts(text: str, span: int = SPAN) -> Iterator[str]:
+    """The text in parts of about ``span`` characters, cut at white space only: a word is never cut."""
+    at = 0
+    while at < len(text):
+        end = min(len(text), at + span)
+        while end < len(text) and ord(text[end]) > 32:
+            end += 1
+        yield text[at:end]
+        at = end
+
+
 def features(text: str) -> Iterator[np.ndarray]:
-    """Buckets of all features of a text, in bounded parts: an n-gram or word that a cut crosses counts once on each side."""
-    for at in range(0, max(1, len(text)), SPAN):
-        codes = code_points(text[at : at + SPAN])
-        yield char_grams(codes, SIZES, BITS)
-        words = word_hashes(codes)
+    """Buckets of all features of a text, in bounded parts that give the same features as the whole."""
+    overlap = SIZES[-1] - 1
+    for i, part in enumerate(parts(text, overlap, SPAN)):
+        codes = code_points(part)
+        if not i:
+            yield char_grams(codes, SIZES, BITS)
+        else:  # without the shorter n-grams within the overlap: they came with the part before
+            for size in SIZES:
+                yield char_grams(codes, (size,), BITS)[max(0, overlap - size + 1) :]
+    before = np.zeros(0, np.uint32)
+    for part in word_parts(text, SPAN):
+        words = word_hashes(code_points(part))
         yield words & _MASK
-        yield repeats(words)
+        yield repeats(np.concatenate([before, words]))[len(before) :]
+        before = np.concatenate([before, words])[-2:]
     yield np.zeros(1, np.uint32)
 
 

@@ -1,5 +1,7 @@
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +96,53 @@ def test_a_prior_alone_rejects_nothing(spark, make_docs):
     docs = make_docs([(1, "some text"), (2, "more of it"), (3, "and more")])
     labels = spark.createDataFrame([(1, 1, 1), (2, 1, 1)], "doc_id long, quality int, toxic int")
     assert toxicity.remove_toxic(docs, labels, F.lit(True)).count() == 3
+
+
+def test_features_of_long_texts_do_not_depend_on_the_cut(monkeypatch):
+    rnd = random.Random(13)
+    text = " ".join(rnd.choice(["aa", "aa", "b", "stone", "\u00e9\u00e8", "x" * 90]) for _ in range(600))
+
+    def counted():
+        return np.bincount(np.concatenate(list(quality.features(text))), minlength=1 << quality.BITS)
+
+    whole = counted()
+    for span in (50, 64, 333):
+        monkeypatch.setattr(quality, "SPAN", span)
+        assert (counted() == whole).all()
+
+
+def test_quality_scores_against_plain_python(corpus, make_docs, odd_rows):
+    docs, labels, _ = corpus
+    logits = quality.fit(*labelled(docs, labels, "quality", F.lit(True), (100, 100)))
+    rows = odd_rows + [(20, "stone " * 60_000), (21, "a!! b!! a!! b")]
+    found = sorted((r.score, r.predicted) for r in quality.score(make_docs(rows), logits, F.lit(True)).collect())
+
+    def plain(text):
+        grams = np.concatenate(list(quality.features(text or "")))
+        p = 1 / (1 + np.exp(-sum(float(logits[g]) for g in grams) / len(grams)))
+        return p, int(p >= 0.3)
+
+    assert found == pytest.approx(sorted(plain(t) for _, t in rows), abs=1e-6)
+
+
+def test_toxicity_scores_against_plain_python(corpus, make_docs, odd_rows):
+    docs, labels, _ = corpus
+    model = toxicity.model_of(docs, labels, F.lit(True))
+    rows = odd_rows + [(20, "stone blorgit " * 30_000), (21, "river snarkle river")]
+    found = sorted(r.score for r in toxicity.score(make_docs(rows), model, F.lit(True)).collect())
+    distances = toxicity.Distances(model)
+
+    def plain(text):
+        d = [max((len(distances.ordinary(distances.lead + w + toxicity.TAIL)) - len(distances.toxic(distances.lead + w + toxicity.TAIL)), w) for w in toxicity.windows(x)) for x in toxicity.words(text or "")]
+        top = sorted((s for s, _ in d), reverse=True)[:3]
+        if not top:
+            total = model.weights[-1]
+        else:
+            halved = sum(distances.of(x)[1] for x in toxicity.words(text))
+            f = [top[0], sum(top) / 3, *(math.log1p(sum(s >= k for s, _ in d)) for k in toxicity.STEPS), math.log1p(len(d)), math.log1p(halved)]
+            total = sum(a * b for a, b in zip(f, model.weights)) + model.weights[-1]
+        if not top or top[0] < 1:
+            total = min(total, toxicity.LIMIT - 1e-6)
+        return 1 / (1 + math.exp(-total))
+
+    assert found == pytest.approx(sorted(plain(t) for _, t in rows), abs=1e-9)

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from lodestrata.llm import language_id as li
@@ -37,3 +38,29 @@ def test_counts_do_not_depend_on_parts():
         assert (li.counts(text) == whole).all()
     finally:
         li.parts.__defaults__ = span
+
+
+def test_scores_against_plain_python(model, make_docs, odd_rows):
+    langs, prior, logp = model
+    rows = odd_rows + [(20, "le chien brun " * 30_000), (21, "x"), (22, "the der le")]
+    found = sorted((r.lang_pred, r.score) for r in li.predict(make_docs(rows), model).collect())
+
+    def plain(text):
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0
+        total = prior + np.array([sum(float(n) * float(logp[b, k]) for b, n in enumerate(li.counts(text)) if n) for k in range(len(langs))])
+        p = np.exp(total - total.max())
+        return langs[int(total.argmax())], float(p.max() / p.sum())
+
+    expected = sorted(plain(t) for _, t in rows)
+    assert [f[0] for f in found] == [e[0] for e in expected]
+    assert [f[1] for f in found] == pytest.approx([e[1] for e in expected], abs=1e-6)
+
+
+def test_parts_and_gathers_do_not_change_sums(model, monkeypatch):
+    _, _, logp = model
+    texts = ["abc def é " * 300, "", "x", "le renard brun " * 50]
+    whole = li.log_sums(texts, logp)
+    monkeypatch.setattr(li, "GATHER", 600)
+    monkeypatch.setattr(li.parts, "__defaults__", (100,))
+    assert li.log_sums(texts, logp) == pytest.approx(whole)

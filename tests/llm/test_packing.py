@@ -60,3 +60,20 @@ def test_pack_places_every_piece_and_wastes_little():
     assert placed == Counter(histogram)
     used, n = sum(k * v for k, v in histogram.items()), sum(c for c, _ in patterns)
     assert used / (2048 * n) > 0.98
+
+
+def test_a_length_fills_new_packs_with_itself():
+    assert sum(c for c, _ in packing.pack({100: 1000})) == 50
+    assert sum(c for c, _ in packing.pack({1: 2048 * 3 + 1})) == 4
+    rnd = random.Random(5)
+    for low, high, n, most in ((20, 120, 5000, 0.08), (1, 40, 100_000, 0.02), (300, 700, 5000, 0.15), (1, 2048, 500, 0.15)):
+        histogram = dict(Counter(rnd.randint(low, high) for _ in range(n)))
+        patterns = packing.pack(histogram)
+        placed = Counter()
+        for count, pieces in patterns:
+            assert sum(pieces) <= 2048
+            for size in pieces:
+                placed[size] += count
+        assert placed == Counter(histogram)
+        used = sum(k * v for k, v in histogram.items())
+        assert used / (2048 * sum(c for c, _ in patterns)) > 1 - most, (low, high)
