@@ -122,7 +122,9 @@ def test_quality_scores_against_plain_python(corpus, make_docs, odd_rows):
         p = 1 / (1 + np.exp(-sum(float(logits[g]) for g in grams) / len(grams)))
         return p, int(p >= 0.3)
 
-    assert found == pytest.approx(sorted(plain(t) for _, t in rows), abs=1e-6)
+    expected = sorted(plain(t) for _, t in rows)
+    assert [f[0] for f in found] == pytest.approx([float(e[0]) for e in expected], abs=1e-6)
+    assert [f[1] for f in found] == [e[1] for e in expected]
 
 
 def test_toxicity_scores_against_plain_python(corpus, make_docs, odd_rows):
