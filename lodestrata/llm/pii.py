@@ -1,12 +1,18 @@
 """Personal data: candidate spans, boosted trees, calibrated thresholds; DataFrame expressions throughout.
 
-Per kind (email, ip, card, phone) a generator of high recall proposes spans: everything that looks remotely like the kind,
-also obfuscated. Base spans, found by the kind's own pattern and check, always stay. Each candidate gets features of format
-(digits, separators, check digit, part sizes, obfuscation) and of context (characters around it, words of the kind
-before it). Boosted trees of depth two are fitted to tell candidates that meet a base span of their kind from the rest;
-their leaves are then one SQL expression. A kind's threshold is the lowest score at which ``PRECISION`` of its candidates
-of that score or more meet a base span; a kind without one selects nothing. Selected candidates that meet no base span are
-added. So a number in the format of those known to be telephone numbers is found without its prefix.
+Per kind (email, ip, card, phone) generators of high recall propose spans that may overlap: whatever has the kind's shape,
+also without its mark (no plus), veiled ("(at)", "[.]") or within a run that the kind's own pattern takes whole and then
+drops (two cards in a row). A candidate counts if it passes the kind's check once it is unveiled. Base spans, found by the
+kind's own pattern and check, always stay.
+
+Boosted trees of depth two tell candidates that meet a base span of their kind from all others, by features of format
+(digits, brackets, separators, labels) and of context (characters beside it, words of the kind before it). What only base spans
+can have, the plus, the plain at sign or dot and a card's separators, is not among the features; so the trees cannot repeat the base pattern.
+Base spans are a labelled part of what is sought, and the others are unlabelled, not negative: a candidate's score is
+compared with the mean score of base spans (their label frequency), not with one half. So veiled forms are found
+also where they are more common than plain ones. That mean comes from texts the trees have not been fitted to; a kind
+with fewer than ``LEAST`` base spans to fit to adds nothing. Selected candidates that meet no base span of any kind are
+added; of those that overlap, that of the earlier generator stays. The trees' leaves are one SQL expression.
 
 Training sees every candidate of the corpus, as counts of distinct feature vectors. These are few, as all features are
 small integers; the ``VECTORS`` most frequent ones are collected, and the trees are fitted to them in plain Python.
@@ -38,13 +44,17 @@ BASE = (
     r"[0-9](?<![0-9][0-9])(?<![0-9][\x20-][0-9])(?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])",
     r"\+[0-9][\x20().0-9-]+[0-9]",
 )
-#: What each generator takes for a candidate.
+_AT = r"(?:\x20?(?:\(at\)|\[at\]|\{at\})\x20?)"
+_DOT = r"(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\(\.\)|\[\.\])\x20?)"
+#: The generators: kind, and what it takes for a candidate.
 WIDE = (
-    r"(?i)(?:[^\s@,;<>()]{1,64}@[^\s@,;<>()]{1,255}|[a-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20)\x20?[a-z0-9-]{1,63}"
-    r"\x20?(?:\(dot\)|\[dot\]|\{dot\}|\x20dot\x20|\.)\x20?[a-z0-9-]{2,63})",
-    r"[0-9]{1,4}(?:\.|\[\.\]|\(\.\))[0-9]{1,4}(?:\.|\[\.\]|\(\.\))[0-9]{1,4}(?:\.|\[\.\]|\(\.\))[0-9]{1,4}",
-    r"[0-9](?:[\x20./_-]?[0-9]){11,21}+",
-    r"[+(]?[0-9][\x20()./0-9-]{6,20}[0-9]",
+    (0, r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+@[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){1,4}"),
+    (0, r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+" + _AT + r"[a-z0-9-]{1,63}(?:(?:" + _DOT + r"|\.)[a-z0-9-]{2,63}){1,4}"),
+    (0, r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+(?:@[a-z0-9-]{1,63}(?:" + _DOT + r"[a-z0-9-]{2,63}){1,4}|\x20at\x20[a-z0-9-]{1,63}(?:\x20dot\x20[a-z0-9-]{2,63}){1,4})"),
+    (1, r"(?<![0-9])[0-9]{1,3}(?:\.|\[\.\]|\(\.\))[0-9]{1,3}(?:\.|\[\.\]|\(\.\))[0-9]{1,3}(?:\.|\[\.\]|\(\.\))[0-9]{1,3}(?![0-9])"),
+    (2, r"(?<![0-9])[0-9]{14,19}(?![0-9])"),
+    (2, r"(?<![0-9])[0-9]{4}[\x20./_-](?:[0-9]{4}[\x20./_-][0-9]{4}[\x20./_-][0-9]{2,7}|[0-9]{6}[\x20./_-][0-9]{4,5})(?![0-9])"),
+    (3, r"(?<![0-9+])(?:\+|00)?(?:[0-9]{1,3}[\x20.-]?)?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{4}(?![0-9])"),
 )
 CUES = (
     r"(?i)mail|contact|write|schreib|correo|courriel",
@@ -52,7 +62,9 @@ CUES = (
     r"(?i)card|visa|karte|tarjeta|carte|account|konto",
     r"(?i)tel|phone|call|fax|mobil|ruf|llam|appel",
 )
-PRECISION = 0.98
+#: Share of the base spans' mean score that a candidate needs, and base spans that a kind needs to be fitted.
+SHARE = 0.5
+LEAST = 20
 VECTORS = 20_000
 ROUNDS = 24
 RATE = 0.4
@@ -61,8 +73,8 @@ GROUP = 256
 FOUND = "array<struct<s:int,e:int,m:string,l:string,r:string>>"
 #: Characters of context before a candidate; it reaches back to the candidate before at most.
 CONTEXT = 24
-FEATURES = ("digits", "plus", "brackets", "seps", "check", "parts", "tail", "veiled", "before", "after", "cue", "lead")
-CANDIDATE = "struct<kind:int,s:int,e:int,base:boolean," + ",".join(f"{f}:int" for f in FEATURES) + ">"
+FEATURES = ("digits", "brackets", "seps", "labels", "tail", "before", "after", "cue", "lead")
+CANDIDATE = "struct<by:int,s:int,e:int,base:boolean," + ",".join(f"{f}:int" for f in FEATURES) + ">"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -158,54 +170,85 @@ def _flag(c: Column) -> Column:
     return F.coalesce(c, F.lit(False)).cast("int")
 
 
-def _described(groups: Column, k: int) -> Callable[[Column], Column]:
-    """From a match of kind ``k`` to a candidate; ``groups`` are those of the base spans of that kind."""
+def unveiled(m: Column) -> Column:
+    """An email candidate in its plain form."""
+    plain = F.regexp_replace(m, "(?i)" + _AT + r"|\x20at\x20", "@")
+    return F.regexp_replace(plain, "(?i)" + _DOT + r"|\x20dot\x20", ".")
+
+
+def national(m: Column) -> Column:
+    """A phone candidate without its country code, as far as that shows."""
+    return F.regexp_replace(m, r"^(?:(?:\+|00)?[0-9]{1,3}[\x20.-]?(?=\()|(?:\+|00)[0-9]{1,3}[\x20.-])", "")
+
+
+def _fits(k: int) -> Callable[[Column], Column]:
+    """Whether a match passes the check of kind ``k`` once it is unveiled."""
+    return (
+        lambda x: unveiled(x["m"]).rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}$"),
+        lambda x: small_parts(x["m"]),
+        lambda x: F.call_function("luhn_check", digits(x["m"])) & F.length(digits(x["m"])).between(14, 19),
+        lambda x: F.length(digits(x["m"])).between(10, 15),
+    )[k]
+
+
+def _described(base: list[Column], by: int) -> Callable[[Column], Column]:
+    """From a match of generator ``by`` to a candidate; ``base`` are the groups of the base spans of each kind.
+
+    ``base`` is null in a candidate that meets base spans of other kinds alone: these explain it.
+    """
+    k = WIDE[by][0]
 
     def described(x: Column) -> Column:
-        m = x["m"]
         left, right = x["l"], x["r"]
 
-        def build(d: Column) -> Column:
+        def build(m: Column) -> Column:
+            d = digits(m)
             own = {
                 "digits": F.least(F.length(d), F.lit(22)),
-                "plus": _flag(m.startswith("+")),
-                "brackets": _flag(m.rlike("[()]")),
-                "seps": F.least(F.length(F.regexp_replace(m, r"[^\x20./_-]", "")), F.lit(6)),
-                "check": _flag(F.call_function("luhn_check", d)) if k == 2 else F.lit(0),
-                "parts": _flag(small_parts(m)) if k == 1 else F.lit(0),
-                "tail": F.least(F.length(F.regexp_extract(m, r"(?i)(?:\.|dot[\x20)\]}]*)([a-z]+)$", 1)), F.lit(7)) if k == 0 else F.lit(0),
-                "veiled": _flag(m.rlike(r"(?i)[(\[{](?:at|dot|\.)[)\]}]|\x20at\x20")),
+                "brackets": _flag(m.rlike("[()]")) if k == 3 else F.lit(0),
+                "seps": F.least(F.length(F.regexp_replace(m, r"[^\x20./_-]", "")), F.lit(6)) if k == 3 else F.lit(0),
+                "labels": F.least(F.size(F.split(m, r"[.]")), F.lit(5)) if k == 0 else F.lit(0),
+                "tail": F.least(F.length(F.regexp_extract(m, "[.]([A-Za-z]+)$", 1)), F.lit(7)) if k == 0 else F.lit(0),
                 "before": _beside(F.substring(left, -1, 1)),
                 "after": _beside(right),
                 "cue": _flag(left.rlike(CUES[k])),
-                "lead": F.when(d.startswith("00"), 2).when(d.startswith("0"), 1).otherwise(0),
+                "lead": F.when(d.startswith("0"), 1).otherwise(0) if k > 1 else F.lit(0),
             }
-            meets = F.exists(groups, lambda g: overlaps(g, x))
-            return F.struct(F.lit(k).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), meets.alias("base"), *(own[f].cast("int").alias(f) for f in FEATURES))
+            met = [F.exists(g, lambda y: overlaps(y, x)) for g in base]
+            others = [m for i, m in enumerate(met) if i != k]
+            label = F.when(met[k], True).when(others[0] | others[1] | others[2], None).otherwise(False)
+            return F.struct(F.lit(by).alias("by"), x["s"].alias("s"), x["e"].alias("e"), label.alias("base"), *(own[f].cast("int").alias(f) for f in FEATURES))
 
-        return let(digits(m), build)
+        shape = (unveiled, lambda m: m, lambda m: m, national)[k]
+        return let(shape(x["m"]), build)
 
     return described
 
 
 def candidates(text: Column, base: list[Column]) -> Column:
-    """What the generators propose, with features, and whether it meets a base span of its kind."""
-    digit = text.rlike("[0-9]{2}|[0-9][./ -][0-9]")
-    veiled = F.contains(text, F.lit("(at)")) | F.contains(text, F.lit("[at]")) | F.contains(text, F.lit("{at}")) | F.contains(text, F.lit(" dot "))
-    guards = (F.contains(text, F.lit("@")) | veiled, digit, digit, digit)
+    """What the generators propose and what passes their kind's check, with features, and whether it meets a base span."""
+    digit = text.rlike("[0-9]{2}|[0-9][.\\[(]")
+    veiled = text.rlike(r"(?i)[(\[{](?:at|dot|\.)[)\]}]|\x20at\x20[^\x20]+\x20dot\x20")
+    guards = (F.contains(text, F.lit("@")), veiled, veiled, digit & text.rlike(r"[0-9][.\[(]"), digit, digit, digit)
     empty = F.array().cast(f"array<{CANDIDATE}>")
 
+    def found(by: int, groups: list[Column]) -> Column:
+        spans = F.filter(located(text, WIDE[by][1]), _fits(WIDE[by][0]))
+        return F.transform(spans, _described(groups, by)).cast(f"array<{CANDIDATE}>")
+
+    held = F.struct(*(grouped(b).alias(f"g{k}") for k, b in enumerate(base)))
 
-    def found(k: int) -> Column:
-        return let(grouped(base[k]), lambda g: F.transform(located(text, WIDE[k]), _described(g, k)).cast(f"array<{CANDIDATE}>"))
+    def whole(groups: Column) -> Column:
+        own = [groups[f"g{k}"] for k in range(len(base))]
+        return F.concat(*(F.when(guard, found(by, own)).otherwise(empty) for by, guard in enumerate(guards)))
 
-    return F.concat(*(F.when(guard, found(k)).otherwise(empty) for k, guard in enumerate(guards)))
+    return F.when(digit | veiled | F.contains(text, F.lit("@")), let(held, whole)).otherwise(empty)
 
 
 def proposed(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of documents, their base spans by kind (b0 to b3), and all candidates."""
     rows = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
-    rows = rows.select("*", *(c.alias(f"b{k}") for k, c in enumerate(base_spans(F.col("__text")))))
+    rows = rows.select("*", F.pmod(F.xxhash64("__text"), F.lit(2)).cast("int").alias("fold"), *(c.alias(f"b{k}") for k, c in enumerate(base_spans(F.col("__text")))))
     return rows.withColumn("candidates", candidates(F.col("__text"), [F.col(f"b{k}") for k in range(4)]))
 
 
@@ -277,43 +320,44 @@ class Model:
     @classmethod
     def fit(cls, found: DataFrame) -> Model:
         """From the candidates of a table of :func:`proposed`."""
-        rows = found.select(F.explode("candidates").alias("c")).select("c.kind", "c.base", *(f"c.{f}" for f in FEATURES))
-        grouped = rows.groupBy("kind", *FEATURES).agg(F.sum(F.col("base").cast("long")).alias("pos"), F.count("*").alias("n"))
-        vectors = grouped.orderBy(F.desc("n"), "kind", *FEATURES).limit(VECTORS).collect()
+        kind = F.element_at(F.array(*(F.lit(k) for k, _ in WIDE)), F.col("c.by") + 1)
+        rows = found.select("fold", F.explode("candidates").alias("c")).where("c.base is not null")
+        rows = rows.select(kind.alias("kind"), "fold", "c.base", *(f"c.{f}" for f in FEATURES))
+        grouped = rows.groupBy("kind", "fold", *FEATURES).agg(F.sum(F.col("base").cast("long")).alias("pos"), F.count("*").alias("n"))
+        vectors = grouped.orderBy(F.desc("n"), "kind", "fold", *FEATURES).limit(VECTORS).collect()
         kinds = {}
-        for kind in range(len(KINDS)):
-            own = [(tuple(r[f] for f in FEATURES), float(r["pos"]), float(r["n"])) for r in vectors if r["kind"] == kind]
-            if own and sum(r[1] for r in own):
-                start, trees = boosted(own)
-                threshold = cls.calibrated([(start + sum(_leaf(t, x) for t in trees), pos, n) for x, pos, n in own])
+        for k in range(len(KINDS)):
+            parts = [[(tuple(r[f] for f in FEATURES), float(r["pos"]), float(r["n"])) for r in vectors if r["kind"] == k and r["fold"] == fold] for fold in (0, 1)]
+            if sum(r[1] for r in parts[0]) >= LEAST:
+                start, trees = boosted(parts[0])
+                threshold = cls.calibrated([(start + sum(_leaf(t, x) for t in trees), pos) for x, pos, _ in parts[1]])
                 if threshold is not None:
-                    kinds[kind] = start, trees, threshold
+                    kinds[k] = start, trees, threshold
         return cls(kinds)
 
     @staticmethod
-    def calibrated(scored: list[tuple[float, float, float]]) -> float | None:
-        """The lowest score at and above which the share of positives is at least ``PRECISION``."""
-        best, pos, n = None, 0.0, 0.0
-        scored = sorted(scored, reverse=True)
-        for i, (z, p, k) in enumerate(scored):
-            pos, n = pos + p, n + k
-            if (i + 1 == len(scored) or scored[i + 1][0] < z) and pos >= PRECISION * n:
-                best = z
-        return best
+    def calibrated(scored: list[tuple[float, float]]) -> float | None:
+        """The log-odds of ``SHARE`` of the mean probability of base spans, from (log-odds, base spans)."""
+        count = sum(pos for _, pos in scored)
+        if not count:
+            return None
+        p = SHARE * sum(pos / (1 + math.exp(-max(-30.0, min(30.0, z)))) for z, pos in scored) / count
+        return math.log(p / (1 - p))
 
     def selects(self, c: Column) -> Column:
         """Whether a candidate's score reaches its kind's threshold."""
         out = F.lit(False)
         for kind, (start, trees, threshold) in self.kinds.items():
             total = sum((_expression(t, lambda f: c[FEATURES[f]]) for t in trees), F.lit(float(start)))
-            out = F.when(c["kind"] == kind, total >= threshold - 1e-9).otherwise(out)
-        return out
+            own = c["by"].isin([by for by, (k, _) in enumerate(WIDE) if k == kind])
+            out = F.when(own, total >= threshold - 1e-9).otherwise(out)
+        return out & (c["base"] == F.lit(False))
 
 
-def _of_kind(k: int) -> Column:
-    """The added spans of kind ``k`` that meet none of an earlier kind."""
-    earlier = grouped(F.filter("added", lambda y: y["k"] < k))
-    return let(earlier, lambda groups: F.filter("added", lambda x: (x["k"] == k) & ~F.exists(groups, lambda g: overlaps(g, x))))
+def _of_generator(by: int) -> Column:
+    """The added spans of a generator that meet none of an earlier one."""
+    earlier = grouped(F.filter("added", lambda y: y["by"] < by))
+    return let(earlier, lambda groups: F.filter("added", lambda x: (x["by"] == by) & ~F.exists(groups, lambda g: overlaps(g, x))))
 
 
 def with_spans(found: DataFrame, model: Model) -> DataFrame:
@@ -323,13 +367,12 @@ def with_spans(found: DataFrame, model: Model) -> DataFrame:
 
     base = F.array_sort(F.concat(*map(marked, range(4))))
     rows = found.withColumn("base", base)
-    chosen = let(grouped(F.col("base")), lambda groups: F.filter("candidates", lambda c: model.selects(c) & ~F.exists(groups, lambda g: overlaps(g, c))))
-    added = F.transform(chosen, lambda c: F.struct(c["s"].alias("s"), c["kind"].alias("k"), c["e"].alias("e")))
+    added = F.transform(F.filter("candidates", model.selects), lambda c: F.struct(c["s"].alias("s"), c["by"].alias("by"), c["e"].alias("e")))
     rows = rows.withColumn("added", F.array_sort(added))
-    # Of added spans that overlap, those of the first kind stay; spans of one kind never overlap.
-    own = [F.filter("added", lambda x: x["k"] == 0), *(_of_kind(k) for k in range(1, 4))]
-    lone = F.concat(*own)
-    return rows.withColumn("spans", F.array_sort(F.concat("base", lone))).drop("candidates", "added")
+    own = [F.filter("added", lambda x: x["by"] == 0), *(_of_generator(by) for by in range(1, len(WIDE)))]
+    kinds = F.array(*(F.lit(k) for k, _ in WIDE))
+    lone = F.transform(F.concat(*own), lambda x: F.struct(x["s"].alias("s"), F.element_at(kinds, x["by"] + 1).alias("k"), x["e"].alias("e")))
+    return rows.withColumn("spans", F.array_sort(F.concat("base", lone))).drop("candidates", "added", "fold")
 
 
 def joined(spans: Column) -> Column:
@@ -341,14 +384,14 @@ def joined(spans: Column) -> Column:
 def detect(docs: DataFrame) -> DataFrame:
     """doc_id, base spans by kind, and base and all spans of every row of ``docs`` (doc_id, text)."""
     found = proposed(docs, ["doc_id"]).drop("__text")
-    found = store(found.select("doc_id", *(F.transform(f"b{k}", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias(f"b{k}") for k in range(4)), "candidates"), "pii")
+    found = store(found.select("doc_id", *(F.transform(f"b{k}", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias(f"b{k}") for k in range(4)), "fold", "candidates"), "pii")
     return with_spans(found, Model.fit(found))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in brackets; null text stays null."""
     slim = docs.select(F.lit(None).cast("long").alias("doc_id"), "text")
-    model = Model.fit(store(proposed(slim, []).select("candidates"), "pii"))
+    model = Model.fit(store(proposed(slim, []).select("fold", "candidates"), "pii"))
     columns = docs.columns  # kept apart in one struct, so that their names clash with none here
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("__row"), "text")
     rows = with_spans(proposed(whole, ["__row"]), model)
