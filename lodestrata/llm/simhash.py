@@ -19,7 +19,10 @@ That is the query. Fingerprints within three bits are too few to clean a corpus
 about one in a hundred is that near. :func:`deduplicate` therefore links rows whose sets of ``CORPUS_SHINGLE`` words have
 a Jaccard similarity of ``SIMILARITY`` or more, verified on the whole sets. Candidates agree on one of ``BANDS`` groups of
 ``ROWS`` minima; a pair at 0.8 is missed with a chance of three in a million. Every member of a group is compared with
-the group's first, and then with all members that this has not connected it with. Texts without words are copies.
+the group's first. Members that this has not connected are compared among themselves, tile by tile: a group is dealt as
+pairs of parts of at most ``MEMBERS`` members and ``WEIGHT`` shingles on average, a task counts the shared shingles of all
+members of a tile by matrix products and reports a spanning forest of the links, so no pair is ever a row. Texts without
+words are copies.
 """
 
 from __future__ import annotations
@@ -44,6 +47,10 @@ CORPUS_SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 24
 ROWS = 4
+#: Members and shingles of a part of a group that is compared in tiles, and shingles that are counted at once.
+MEMBERS = 1024
+WEIGHT = 1 << 20
+COLUMNS = 1 << 12
 #: Shingles whose minima are taken at once.
 SPAN = 1 << 13
 #: Fingerprints in a tile, and classes of a bucket that one part may hold.
@@ -243,6 +250,70 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> Dat
     return cut(counted.where(F.col("k") >= least * (F.col("both") - F.col("k")) - 1e-9).select("a", "b"))
 
 
+def tiled(left: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): a spanning forest, task by task, of the pairs of a band's members that have the similarity.
+
+    ``left`` has band, rep, label, and the band's members and weight; members of one label are connected already.
+    """
+    parts = F.greatest(F.ceil(F.col("members") / MEMBERS), F.ceil(F.col("weight") / WEIGHT)).cast("int")
+    dealt = left.select("band", "rep", "label", parts.alias("parts"), F.pmod(F.xxhash64("rep"), parts).cast("int").alias("own"))
+    dealt = dealt.join(sets, dealt.rep == sets.node).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    low, high = F.least("own", "other").cast("long"), F.greatest("own", "other").cast("long")
+    dealt = dealt.select("band", (low * (1 << 31) + high).alias("pair"), "rep", "label", "shingles")
+    dealt = dealt.repartition("band", "pair").sortWithinPartitions("band", "pair")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for reps, labels, shingles in _tiles(batches):
+            if len(reps) > 1 and (labels != labels[0]).any():
+                ends = _forest(reps, labels, shingles, least)
+                if len(ends):
+                    yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Representatives, labels and sets, one (band, pair) of a sorted partition after the other."""
+    key, reps, labels, held = None, [], [], []
+    for batch in batches:
+        ends = [batch.column(c).to_numpy() for c in ("band", "pair", "rep", "label")]
+        lists = batch.column("shingles")
+        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        for i, (band, pair, rep, label) in enumerate(zip(*(e.tolist() for e in ends))):
+            if key is not None and key != (band, pair):
+                yield np.array(reps), np.array(labels), held
+                reps, labels, held = [], [], []
+            key = band, pair
+            reps.append(rep)
+            labels.append(label)
+            held.append(flat[offsets[i] : offsets[i + 1]].copy())
+    if key is not None:
+        yield np.array(reps), np.array(labels), held
+
+
+def _forest(reps: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], least: float) -> np.ndarray:
+    """Links between members of different labels whose sets have the similarity, less those that close a ring."""
+    sizes = np.array([len(x) for x in sets], np.float64)
+    owner = np.repeat(np.arange(len(sets)), sizes.astype(int))
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[column] > 1  # a shingle of one member alone is in no intersection
+    rank = np.cumsum(count > 1) - 1
+    owner, column = owner[shared], rank[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)  # exact: counts are below 2 ** 24
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[owner[a:b], column[a:b] - at] = 1
+        common += part @ part.T
+    near = common >= least * (sizes[:, None] + sizes[None, :] - common) - 1e-9
+    i, j = np.nonzero(np.triu(near & (labels[:, None] != labels[None, :]), 1))
+    forest = Forest(len(sets))
+    kept = [(x, y) for x, y in zip(i.tolist(), j.tolist()) if forest.join(x, y)]
+    return reps[np.array(kept, np.int64).reshape(-1, 2)]
+
+
 def similar_components(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """uid, doc_id and label of rows of uid, doc_id and text: the smallest uid that links of the similarity reach."""
     bound_batches(rows.sparkSession)
@@ -262,14 +333,9 @@ def similar_components(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     linked = similar(first, sets, least)
     found = connected(linked)
     # Members of one band that are not connected yet.
-    left = near.join(found, near.rep == found.node, "left").select("band", "rep", "n", F.coalesce("label", "rep").alias("label"))
-    left = cut(left)
-    mixed = left.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
-    left = left.join(mixed, "band")
-    a, b = left.alias("a"), left.alias("b")
-    other = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.label") != F.col("b.label")) & may("a.n", "b.n"))
-    other = other.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = similar(other, sets, least)
+    left = cut(near.join(found, near.rep == found.node, "left").select("band", "rep", "n", F.coalesce("label", "rep").alias("label")))
+    mixed = left.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"), F.sum("n").alias("weight"))
+    more = cut(tiled(left.join(mixed.where("low < high").select("band", "members", "weight"), "band"), sets, least))
     if not more.isEmpty():
         found = connected(linked.unionByName(more))
     classes = classes.join(found, classes.rep == found.node, "left").select("digest", F.coalesce("label", "rep").alias("label"))

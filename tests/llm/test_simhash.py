@@ -118,3 +118,41 @@ def test_a_class_without_an_id_connects_others(make_docs, monkeypatch):
     monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs.selectExpr("doc_id", "cast(case text when 'a' then 0 when 'b' then 7 else 63 end as long) as fp"))
     found = simhash.near_duplicates(make_docs([(4, "a"), (None, "b"), (9, "c")])).collect()
     assert {r.component_id for r in found} == {4}
+
+
+def test_a_large_group_below_the_similarity_is_compared_in_tiles(make_docs, monkeypatch):
+    """Copies of one text with many edits each: most pairs are too far apart, and links are those of all pairs."""
+    monkeypatch.setattr(simhash, "MEMBERS", 16)
+    monkeypatch.setattr(simhash, "COLUMNS", 64)
+    rnd = random.Random(14)
+    base = [f"w{i}" for i in range(300)]
+    texts = {}
+    for i in range(70):
+        w = list(base)
+        for at in rnd.sample(range(len(w)), rnd.randint(4, 9)):
+            w[at] = f"e{rnd.randint(0, 3)}"
+        texts[i] = " ".join(w)
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    up = {i: i for i in texts}
+    for i in texts:
+        for j in texts:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = up[i], up[j]
+                up = {k: min(a, b) if v in (a, b) else v for k, v in up.items()}
+    kept = sorted(r.doc_id for r in simhash.deduplicate(make_docs(list(texts.items()))).collect())
+    assert kept == sorted(set(up.values())) and 1 < len(kept) < 60
+
+
+def test_forest_of_a_tile_against_sets():
+    rng = np.random.default_rng(15)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 60))) for _ in range(80)]
+    labels = np.arange(80)
+    found = simhash._forest(labels + 100, labels, sets, 0.5) - 100
+    a, b = simhash.Forest(80), simhash.Forest(80)
+    for i, j in found:
+        assert len(set(sets[i]) & set(sets[j])) >= 0.5 * len(set(sets[i]) | set(sets[j])) and a.join(int(i), int(j))
+    for i in range(80):
+        for j in range(i):
+            if len(set(sets[i]) & set(sets[j])) >= 0.5 * len(set(sets[i]) | set(sets[j])):
+                b.join(i, j)
+    assert [a.find(i) for i in range(80)] == [b.find(i) for i in range(80)]
