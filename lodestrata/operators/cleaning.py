@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .spatial import cell, components, k_nearest, near_pairs
 
 
@@ -48,6 +49,132 @@ def wand(points: DataFrame, seed: int, size: float) -> DataFrame:
     return labels.join(F.broadcast(own), F.col("label") == F.col("own")).select("id")  # the seed's own row
 
 
+def largest(points: DataFrame, size: float, least: int | None = None) -> DataFrame:
+    """Points of the largest component, or, with ``least``, of all that have so many points."""
+    labels = clusters(points, size)
+    sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
+    if least is None:
+        kept = sizes.orderBy(F.desc("n"), "label").limit(1)
+        return labels.join(F.broadcast(kept.select("label")), "label").select("id")  # one row
+    return labels.join(sizes.where(F.col("n") >= least).select("label"), "label").select("id")
+
+
+def dbscan(points: DataFrame, radius: float, least: int) -> DataFrame:
+    """(id, cluster): cluster by its smallest core point; null for noise.
+
+    Core points have ``least`` points within the radius, themselves included. Core points within the radius of each other
+    are of one cluster; another point joins the cluster of its nearest core point.
+    """
+    pairs = cut(near_pairs(points, points, radius))
+    core = cut(pairs.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("id"))
+    links = pairs.join(core, "id").join(core.select(F.col("id").alias("other")), "other")
+    found = linked(core, links.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")))
+    near = pairs.join(found.select(F.col("id").alias("other"), "cluster"), "other")
+    best = near.groupBy("id").agg(F.min_by("cluster", F.struct("d2", "other")).alias("cluster"))
+    return points.select("id").join(best, "id", "left")
+
+
+def linked(nodes: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
+    """(id, cluster): the smallest id that edges (a, b), given in both directions, reach from each node."""
+    labels = cut(nodes.select("id", F.col("id").alias("cluster")))
+    edges = cut(edges)
+    for _ in range(rounds):
+        best = edges.join(labels, edges.b == labels.id).groupBy("a").agg(F.min("cluster").alias("m"))
+        nxt = labels.join(best, labels.id == best.a, "left").select("id", F.least("cluster", F.coalesce("m", "cluster")).alias("cluster"))
+        up = nxt.select(F.col("id").alias("__up"), F.col("cluster").alias("__l"))
+        nxt = cut(nxt.join(up, nxt.cluster == up["__up"], "left").select("id", F.least("cluster", F.coalesce("__l", "cluster")).alias("cluster")))
+        if nxt.join(labels.withColumnRenamed("cluster", "old"), "id").where("cluster <> old").isEmpty():
+            return nxt
+        labels = nxt
+    raise RuntimeError(f"links did not settle in {rounds} rounds")
+
+
+def planes(points: DataFrame, tolerance: float, most: int = 6, candidates: int = 64, least: int = 10, seed: int = 1337) -> list[tuple[float, float, float, float, int]]:
+    """Up to ``most`` planes (a, b, c, d, inliers) with a x + b y + c z = d: each the best of seeded candidates for what is left.
+
+    A candidate goes through three points drawn by a hash of id and seed. All candidates of a round are counted in one pass;
+    only they, at most ``candidates``, are broadcast.
+    """
+    import numpy as np
+
+    spark, out, left = points.sparkSession, [], points.select("id", "x", "y", "z")
+    for turn in range(most):
+        drawn = left.orderBy(F.xxhash64("id", F.lit(seed + turn)), "id").limit(3 * candidates).collect()
+        xyz = np.array([(r.x, r.y, r.z) for r in drawn], float).reshape(-1, 3)
+        rows = []
+        for i in range(0, len(xyz) - 2, 3):
+            normal = np.cross(xyz[i + 1] - xyz[i], xyz[i + 2] - xyz[i])
+            if (size := np.linalg.norm(normal)) > 1e-12:
+                normal = normal / size
+                rows.append((i // 3, *map(float, normal), float(normal @ xyz[i])))
+        if not rows:
+            break
+        tried = F.broadcast(spark.createDataFrame(rows, "n int, a double, b double, c double, d double"))
+        near = F.abs(F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c") * F.col("z") - F.col("d")) <= tolerance
+        best = left.join(tried, near).groupBy("n", "a", "b", "c", "d").agg(F.count("*").alias("k")).orderBy(F.desc("k"), "n").first()
+        if best is None or best.k < least:
+            break
+        out.append((best.a, best.b, best.c, best.d, best.k))
+        left = cut(left.where(F.abs(best.a * F.col("x") + best.b * F.col("y") + best.c * F.col("z") - best.d) > tolerance))
+    return out
+
+
+#: What a cleaning step takes where the specification does not say; points from which an automatic one thins first.
+NEIGHBOURS, DEVIATIONS, VOXEL = 6, 1.0, 0.01
+THIN_FROM, THIN_MORE_FROM = 12_000_000, 40_000_000
+
+
+def thin(points: DataFrame, voxel: float) -> DataFrame:
+    """One point per voxel: that with the smallest id."""
+    first = points.select(*points.columns, *cell(voxel)).groupBy("c0", "c1", "c2").agg(F.min_by(F.struct(*points.columns), "id").alias("p"))
+    return first.select("p.*")
+
+
+def clean(points: DataFrame, steps: list[dict], radius: float) -> DataFrame:
+    """``points`` after a list of steps: auto, denoise, statistical or downsample, with k, std and voxel where given.
+
+    Without a step that cleans, statistical outliers go. ``radius`` is where the search for neighbours begins.
+    """
+    def outliers(df: DataFrame, step: dict) -> DataFrame:
+        kept = statistical_outliers(df, int(step.get("k") or step.get("minPts") or NEIGHBOURS), float(step.get("std") or DEVIATIONS), radius)
+        return df.join(kept, "id", "left_semi")
+
+    cleaned = False
+    for step in steps:
+        kind = step.get("type")
+        if kind == "auto":
+            n = points.count()
+            if n > THIN_FROM or step.get("subsample"):
+                points = thin(points, float(step.get("voxel") or (2 * VOXEL if n > THIN_MORE_FROM else VOXEL)))
+            points, cleaned = outliers(points, step), True
+        elif kind in ("denoise", "statistical"):
+            points, cleaned = outliers(points, step), True
+        elif kind == "downsample":
+            points, cleaned = thin(points, float(step.get("voxel") or VOXEL)), True
+    return points if cleaned else outliers(points, {})
+
+
+def dense(points: DataFrame, voxel: float, least: int = 8) -> DataFrame:
+    """Points of voxels that hold so many."""
+    celled = points.select(*points.columns, *cell(voxel))
+    full = celled.groupBy("c0", "c1", "c2").agg(F.count("*").alias("__n")).where(F.col("__n") >= least)
+    return celled.join(full, ["c0", "c1", "c2"], "left_semi").select(*points.columns)
+
+
+def auto_clean(points: DataFrame, spacing: float, k: int = 16, std: float = 1.0, least: int = 8, rounds: int = 5, share: float = 0.0008) -> DataFrame:
+    """Outliers, thin voxels (three spacings wide) and small components go, again until hardly a point does."""
+    n = points.count()
+    for _ in range(rounds):
+        points = points.join(statistical_outliers(points, k, std, 2 * spacing), "id", "left_semi")
+        points = dense(points, 3 * spacing, least)
+        points = cut(points.join(largest(points, 3 * spacing), "id", "left_semi"))
+        left = points.count()
+        if n - left < share * n:
+            break
+        n = left
+    return points
+
+
 def rigid_step(pairs: DataFrame) -> DataFrame:
     """One row of an alignment step: count, centroids and cross-covariance of matched points (x, y, z) and (u, v, w)."""
     own, ref = ("x", "y", "z"), ("u", "v", "w")

@@ -13,22 +13,22 @@ from ..session import cut
 def with_index(df: DataFrame, order: Sequence[Column | str], name: str = "point_idx") -> DataFrame:
     """``df`` with the 0-based position of each row in the given order, as a long.
 
-    Rows are range-partitioned and numbered within their partition; the sizes of earlier partitions, one number each,
+    Rows are range-partitioned, sorted and numbered within their partition, by one shuffle; the sizes of earlier partitions, one number each,
     are added. Ties are numbered in an arbitrary order.
     """
-    parts = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    parts = cut(parts)
-    local = parts.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1)
-    sizes = parts.groupBy("__p").agg(F.count("*").alias("__size"))
+    parts = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()))
+    part, place = F.shiftright("__m", 33), F.col("__m").bitwiseAND((1 << 33) - 1)  # partition, and row within it
+    sizes = parts.groupBy(part.alias("__p")).agg(F.count("*").alias("__size"))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     first = sizes.select("__p", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__first"))
-    out = local.join(F.broadcast(first), "__p")  # bounded by the number of partitions
-    return out.withColumn(name, (F.col("__first") + F.col("__n")).cast("long")).drop("__p", "__n", "__first")
+    out = parts.join(F.broadcast(first), part == F.col("__p"))  # bounded by the number of partitions
+    return out.withColumn(name, (F.col("__first") + place).cast("long")).drop("__p", "__m", "__first")
 
 
 def order_statistics(df: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
     """One row: for each name the value at 0-based rank ``floor((n - 1) * share)``, nulls left out; not interpolated."""
     ranked = with_index(df.where(F.col(column).isNotNull()).select(F.col(column).alias("v")), ["v"], "rank")
-    n = ranked.agg(F.count("*").alias("n"))
-    picked = ranked.crossJoin(F.broadcast(n))  # a single row
-    return picked.agg(*(F.max(F.when(F.col("rank") == F.floor((F.col("n") - 1) * p), F.col("v"))).alias(k) for k, p in shares.items()))
+    n = ranked.count()
+    ranks = {k: int((n - 1) * p) if n else 0 for k, p in shares.items()}
+    picked = ranked.where(F.col("rank").isin(sorted(set(ranks.values()))))
+    return picked.agg(*(F.max(F.when(F.col("rank") == r, F.col("v"))).alias(k) for k, r in ranks.items()))

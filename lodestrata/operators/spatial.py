@@ -79,4 +79,6 @@ def components(cells: DataFrame, keys: list[str], rounds: int = 200) -> DataFram
         if nxt.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").isEmpty():
             break
         labels = nxt
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return nodes.join(labels, "node").select(*keys, "label")

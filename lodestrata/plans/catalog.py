@@ -8,7 +8,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import spatial_catalog
+from . import model_catalog, spatial_catalog
 from .fixtures import DUCK, view
 from .sql_catalog import SQL
 
@@ -33,9 +33,9 @@ def duck_sql(text: str) -> str:
 
 def queries() -> dict[str, Query]:
     plain = {name: partial(run_sql, q[0] if isinstance(q, tuple) else q) for name, q in SQL.items()}
-    return plain | spatial_catalog.QUERIES
+    return plain | spatial_catalog.QUERIES | model_catalog.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     plain = {name: duck_sql(q[1] if isinstance(q, tuple) else q) for name, q in SQL.items()}
-    return plain | {name: duck_sql(q) for name, q in spatial_catalog.ORACLES.items()}
+    return plain | {name: duck_sql(q) for name, q in (spatial_catalog.ORACLES | model_catalog.ORACLES).items()}

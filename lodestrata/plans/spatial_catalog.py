@@ -16,6 +16,7 @@ from .fixtures import view
 #: Points of a robust range: every ceil(n / RANGE_POINTS)-th.
 RANGE_POINTS = 50_000
 STRIDE = 16
+FLOATER = 3
 RADIUS = 0.08
 CELL = 0.06
 SHARES = {"p01": 0.01, "p05": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99, "lo": 0.0, "hi": 1.0}
@@ -56,11 +57,13 @@ def robust_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def floater_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points further from the median than three times the 95th percentile of that distance."""
     points = view(spark, sf_dir, "points")
-    mid = order_statistics(points, "x", {"mx": 0.5}).crossJoin(order_statistics(points, "y", {"my": 0.5}))
-    d = points.crossJoin(F.broadcast(mid)).select(F.sqrt((F.col("x") - F.col("mx")) * (F.col("x") - F.col("mx")) + (F.col("y") - F.col("my")) * (F.col("y") - F.col("my"))).alias("d"))
-    far = order_statistics(d, "d", {"p50": 0.5})
-    return d.crossJoin(F.broadcast(far)).agg(F.max("p50").alias("p50"), F.count(F.when(F.col("d") > 2 * F.col("p50"), 1)).alias("floaters"), F.count("*").alias("n"))
+    mid = [order_statistics(points, a, {"m": 0.5}).first()["m"] for a in "xyz"]
+    d2 = sum((((F.col(a) - m) * (F.col(a) - m)) for a, m in zip("xyz", mid)), F.lit(0.0))
+    d = points.select(F.sqrt(d2).alias("d"))
+    core = order_statistics(d, "d", {"p95": 0.95}).first()["p95"]
+    return d.agg(F.lit(core).alias("p95"), F.count(F.when(F.col("d") > FLOATER * core, 1)).alias("floaters"), F.count("*").alias("n"))
 
 
 def knn_self(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +163,7 @@ ORACLES: dict[str, str] = {
     "percentile_stats": "SELECT axis, " + ", ".join(f"{_at(p)} AS {k}" for k, p in SHARES.items()) + f" FROM ({_ALL}) GROUP BY axis",
     "robust_axis_range": f"SELECT axis, {_at(0.995)} - {_at(0.005)} AS extent FROM (" + " UNION ALL ".join("SELECT * FROM " + _RANK.format(a, "(SELECT * FROM {points} WHERE point_idx % (SELECT greatest(1, CAST(ceil(count(*) / 50000.0) AS BIGINT)) FROM {points}) = 0)") for a in ("x", "y", "z")) + ") GROUP BY axis",
     "robust_floor": f"SELECT {_at(0.05)} AS floor_z FROM {_RANK.format('z', '{points}')}",
-    "floater_share": f"WITH m AS (SELECT (SELECT {_at(0.5)} FROM {_RANK.format('x', '{points}')}) AS mx, (SELECT {_at(0.5)} FROM {_RANK.format('y', '{points}')}) AS my), d AS (SELECT sqrt((x - mx) * (x - mx) + (y - my) * (y - my)) AS d FROM {{points}}, m), q AS (SELECT {_at(0.5)} AS p50 FROM (SELECT d AS v, row_number() OVER (ORDER BY d) - 1 AS r, count(*) OVER () AS n FROM d)) SELECT max(p50) AS p50, count(CASE WHEN d > 2 * p50 THEN 1 END) AS floaters, count(*) AS n FROM d, q",
+    "floater_share": "WITH m AS (SELECT " + ", ".join(f"(SELECT {_at(0.5)} FROM {_RANK.format(a, '{points}')}) AS m{a}" for a in "xyz") + f"), d AS (SELECT sqrt((x - mx) * (x - mx) + (y - my) * (y - my) + (z - mz) * (z - mz)) AS d FROM {{points}}, m), q AS (SELECT {_at(0.95)} AS p95 FROM (SELECT d AS v, row_number() OVER (ORDER BY d) - 1 AS r, count(*) OVER () AS n FROM d)) SELECT max(p95) AS p95, count(CASE WHEN d > 3 * p95 THEN 1 END) AS floaters, count(*) AS n FROM d, q",
     "knn_self": f"SELECT id, other, CAST(rank AS INTEGER) AS rank, round(d2, 9) AS d2 FROM {_KNN} WHERE rank <= 4",
     "radius_outlier": f"SELECT id, count(*) AS n FROM {_KNN} WHERE d2 <= {RADIUS}::DOUBLE * {RADIUS}::DOUBLE GROUP BY id HAVING count(*) >= 3",
     "sor_clean": f"WITH m AS (SELECT id, avg(sqrt(d2)) AS d FROM {_KNN} WHERE rank <= 6 GROUP BY id) SELECT id FROM m, (SELECT avg(d) + 1.0 * stddev_samp(d) AS lim FROM m) WHERE round(d - lim, 9) <= 0",

@@ -78,10 +78,11 @@ class Field:
 
     def __init__(self, node: ET.Element) -> None:
         self.name, kind = _tag(node), node.get("type")
-        self.low, self.high = float(node.get("minimum", 0)), float(node.get("maximum", 0))
+        self.low, self.high = float(node.get("minimum", -(2**63))), float(node.get("maximum", 2**63 - 1))  # unlimited: 64 bits, refused below
         self.scale, self.offset, self.bits, self.float_ = 1.0, 0.0, 0, None
         if kind == "Float":
             self.float_ = "<f4" if node.get("precision") == "single" else "<f8"
+            self.low, self.high = float(node.get("minimum", 0)), float(node.get("maximum", 0))
         elif kind in ("Integer", "ScaledInteger"):
             self.bits = math.ceil(math.log2(self.high - self.low + 1)) if self.high > self.low else 0
             if self.bits > 53:
@@ -136,7 +137,24 @@ def rotation(pose: ET.Element | None) -> np.ndarray | None:
     n = math.sqrt(w * w + x * x + y * y + z * z) or 1.0
     w, x, y, z = w / n, x / n, y / n, z / n
     v, k = np.array([x, y, z]), np.array([[0, -z, y], [z, 0, -x], [-y, x, 0]])
-    return np.eye(3) * (w * w - v @ v) + 2 * np.outer(v, v) + 2 * w * k
+    return np.eye(3) * (1 - 2 * (v @ v)) + 2 * np.outer(v, v) + 2 * w * k  # of a zero quaternion: the identity
+
+
+def count(path: str) -> int:
+    """Records of all scans."""
+    scans = _child(description(path)[0], "data3D")
+    vectors = (_child(node, "points") for node in ([] if scans is None else scans))
+    return sum(int(v.get("recordCount")) for v in vectors if v is not None)
+
+
+def stations(path: str) -> list[dict]:
+    """Name, place and number of records of each scan, from the description alone."""
+    scans, out = _child(description(path)[0], "data3D"), []
+    for i, node in enumerate([] if scans is None else scans):
+        name, move, vector = _child(node, "name"), _child(node, "pose", "translation"), _child(node, "points")
+        place = {a: _value(_child(move, a)) for a in "xyz"}
+        out.append({"name": (name.text or "").strip() if name is not None else f"scan {i}", **place, "count": int(vector.get("recordCount")) if vector is not None else 0})
+    return out
 
 
 def points(path: str, first: int = 0, last: int | None = None) -> Iterator[Columns]:

@@ -133,8 +133,27 @@ def ply_points(path: str, first: int = 0, last: int | None = None) -> Iterator[C
         order = ">" if h["form"] == "binary_big_endian" else "<"
         kind = np.dtype([(n, order + t) for n, t in h["fields"]])
         blocks = (np.fromfile(path, kind, min(CHUNK, last - at), offset=h["start"] + at * kind.itemsize) for at in range(first, last, CHUNK))
+    top = ply_intensity_top(path, h)
     for rows in blocks:
-        yield _named(lambda n: rows[n], kinds)
+        yield _named(lambda n: rows[n], kinds, top)
+
+
+INTENSITY = ("intensity", "scalar_intensity", "scalar_Intensity", "i", "reflectance")
+
+
+def ply_intensity_top(path: str, h: dict) -> float | None:
+    """Largest intensity of the whole file where it is floating-point, so that all its parts are scaled alike."""
+    kinds = dict(h["fields"])
+    name = next((n for n in INTENSITY if n in kinds), None)
+    if name is None or kinds[name][0] != "f" or not h["count"]:
+        return None
+    if h["form"] == "ascii":
+        blocks = _ascii_blocks(path, h["start"], [n for n, _ in h["fields"]], 0, h["count"])
+    else:
+        order = ">" if h["form"] == "binary_big_endian" else "<"
+        rows = np.memmap(path, np.dtype([(n, order + t) for n, t in h["fields"]]), "r", h["start"], (h["count"],))
+        blocks = (rows[at : at + CHUNK] for at in range(0, h["count"], CHUNK))
+    return float(max((np.nanmax(b[name], initial=0) for b in blocks), default=0))
 
 
 def _ascii_blocks(path: str, start: int, names: list[str], first: int, last: int) -> Iterator[dict]:
@@ -168,16 +187,17 @@ def _scaled(v: np.ndarray, kind: str) -> np.ndarray:
     return (v / top if top else v).astype(np.float32)
 
 
-def _named(column, kinds: dict[str, str]) -> Columns:
-    """Columns by the names that vertex files use."""
+def _named(column, kinds: dict[str, str], top: float | None = None) -> Columns:
+    """Columns by the names that vertex files use; ``top`` is the largest intensity, if not that of these rows."""
     out: Columns = {a: np.asarray(column(a), np.float64) for a in "xyz"}
     for c, names in {"r": ("red", "r", "diffuse_red"), "g": ("green", "g", "diffuse_green"), "b": ("blue", "b", "diffuse_blue")}.items():
         if name := next((n for n in names if n in kinds), None):
             out[c] = _scaled(np.asarray(column(name)), kinds[name])
-    if name := next((n for n in ("intensity", "scalar_intensity", "scalar_Intensity") if n in kinds), None):
+    if name := next((n for n in INTENSITY if n in kinds), None):
         v = _scaled(np.asarray(column(name)), kinds[name])
-        out["intensity"] = np.clip(v / v.max() if v.size and v.max() > 1.0001 else v, 0, 1)
-    if name := next((n for n in ("classification", "scalar_Classification", "class") if n in kinds), None):
+        most = float(v.max(initial=0)) if top is None else top
+        out["intensity"] = np.clip(v / most if most > 1.0001 else v, 0, 1).astype(np.float32)
+    if name := next((n for n in ("classification", "scalar_Classification", "class", "label", "semantic") if n in kinds), None):
         v = np.nan_to_num(np.asarray(column(name), np.float64), nan=0, posinf=0, neginf=0)
         out["classification"] = np.clip(np.floor(v + 0.5), 0, 255).astype(np.int16)
     return out
@@ -275,13 +295,43 @@ def pcd_points(path: str, first: int = 0, last: int | None = None) -> Iterator[C
     good[:first] = False
     if last is not None:
         good[last:] = False
-    yield {k: v[good] for k, v in columns.items()} | {"__idx": np.flatnonzero(good)}
+    yield {k: v[good] for k, v in columns.items()} | {"__idx": np.flatnonzero(good), "__total": h["count"]}
 
 
 # Text and PTX ---------------------------------------------------------------------------------------------------------
-#: Names that columns of text clouds go by, and what files without names hold by their number of columns.
-TEXT_NAMES = {"x": ("x", "easting", "lon", "east"), "y": ("y", "northing", "lat", "north"), "z": ("z", "elevation", "height", "alt"), "r": ("r", "red"), "g": ("g", "green"), "b": ("b", "blue"), "intensity": ("i", "intensity"), "classification": ("class", "classification", "c")}
-TEXT_BY_COUNT = {3: "x y z", 4: "x y z intensity", 5: "x y z intensity classification", 6: "x y z r g b", 7: "x y z intensity r g b", 8: "x y z intensity r g b classification"}
+#: Names that columns of text clouds go by, first the one that counts most.
+TEXT_NAMES = {
+    "x": ("x", "easting", "east", "longitude", "lon"),
+    "y": ("y", "northing", "north", "latitude", "lat"),
+    "z": ("z", "elevation", "height", "altitude", "alt"),
+    "intensity": ("intensity", "i", "reflectance", "return_intensity"),
+    "r": ("red", "r"),
+    "g": ("green", "g"),
+    "b": ("blue", "b"),
+    "classification": ("classification", "class", "label", "semantic"),
+}
+#: What files without names hold, in order, by extension and number of columns; the last entry is for more.
+TEXT_LAYOUTS = {
+    ".xyzrgb": {3: "xyz", 6: "xyzrgb", 7: "xyzrgbc"},
+    ".pts": {3: "xyz", 4: "xyzi", 7: "xyzirgb", 8: "xyzirgbc"},
+    "": {3: "xyz", 4: "xyzi", 5: "xyzic", 6: "xyzrgb", 7: "xyzirgb", 8: "xyzirgbc"},
+}
+
+
+def text_layout(path: str, n: int) -> list[str]:
+    """Columns of a file without names, by its extension and number of columns."""
+    layouts = TEXT_LAYOUTS.get(extension(path), TEXT_LAYOUTS[""])
+    letters = layouts[max((k for k in layouts if k <= n), default=3)]
+    return [{"i": "intensity", "c": "classification"}.get(c, c) for c in letters]
+
+
+def named_layout(tokens: list[str]) -> list[str]:
+    """Columns by their names; of two names for one column the one that counts more is it."""
+    out = list(tokens)
+    for column, names in TEXT_NAMES.items():
+        if found := next((n for n in names if n in tokens), None):
+            out[tokens.index(found)] = column
+    return out
 
 
 def text_tokens(line: str, csv: bool) -> list[str]:
@@ -298,7 +348,7 @@ def text_points(path: str, first: int = 0, last: int | None = None) -> Iterator[
                 text = line.strip().lower()
                 names = text.partition("columns=")[2] if text.startswith("#") else text
                 tokens = [t.strip() for t in text_tokens(names, csv)]
-                known = [next((k for k, v in TEXT_NAMES.items() if t in v), t) for t in tokens]
+                known = named_layout(tokens)
                 if layout is None and {"x", "y", "z"} <= set(known):
                     layout = known
                 continue
@@ -306,7 +356,7 @@ def text_points(path: str, first: int = 0, last: int | None = None) -> Iterator[
             if layout is None:
                 if path.lower().endswith(".pts") and len(tokens) == 1:
                     continue  # the leading count
-                layout = TEXT_BY_COUNT.get(min(len(tokens), 8), "x y z").split()
+                layout = text_layout(path, len(tokens))
             rows.append([_number(t) for t in tokens[: len(layout)]] + [float("nan")] * (len(layout) - len(tokens)))
     table = np.array(rows, float).reshape(-1, len(layout or [0] * 3))
     columns = {n: table[:, i] for i, n in enumerate(layout or ["x", "y", "z"])}
@@ -338,7 +388,7 @@ def _observed(columns: Columns, first: int, last: int | None) -> Iterator[Column
     good[:first] = False
     if last is not None:
         good[last:] = False
-    yield {k: v[good] for k, v in out.items()} | {"__idx": np.flatnonzero(good)}
+    yield {k: v[good] for k, v in out.items()} | {"__idx": np.flatnonzero(good), "__total": len(good)}
 
 
 def ptx_points(path: str, first: int = 0, last: int | None = None) -> Iterator[Columns]:

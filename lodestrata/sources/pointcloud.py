@@ -2,9 +2,10 @@
 
 ``spark.read.format("pointcloud").load(path)`` reads a file or all cloud files of a folder. Binary LAS and PLY files are read in
 ranges of ``recordsPerPartition`` records by as many tasks; other files by one task each. ``stride`` keeps one point per
-window of so many, by the sampling hash, before rows leave the reader; ``maxPoints`` derives the stride of each file
-from the records that its header states (raised to 200,000 as the floor of a budget). Paths are read by ``open``, so
-they must be mounted on the executors.
+window of so many, by the sampling hash (E57 and PTX: every so manieth), before rows leave the reader; ``maxPoints`` derives
+the stride of each file from its records, which the header states or, in text files, the task counts (raised to 200,000
+as the floor of a budget). Paths are read by ``open``, so they must be mounted on the executors. A text, PTX, PCD or E57 file
+is held whole by its task, so it must fit the task's memory.
 
 ``df.write.format("pointcloud").option("form", "ply" | "las" | "xyz")`` writes one file per task into a folder.
 """
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from ..functions.expr import stride_for
 from . import e57, formats
 
 SCHEMA = "cloud string, scan_id int, point_idx long, x double, y double, z double, r float, g float, b float, intensity float, classification short"
@@ -47,6 +49,21 @@ class Part(InputPartition):
     first: int
     last: int | None
     stride: int
+    budget: int | None = None
+
+
+def stride_of(count: int, budget: int) -> int:
+    """One point of so many keeps a file within a budget, which is ``LEAST_BUDGET`` at least."""
+    return stride_for(count, max(budget, LEAST_BUDGET))
+
+
+#: Formats that are sampled by the plain remainder of the index.
+BY_MODULO = (".e57", ".ptx")
+
+
+def _count(path: str) -> int:
+    """Records that the header of a file states, where its reader does not say."""
+    return e57.count(path) if formats.extension(path) == ".e57" else formats.ply_header(path)["count"]
 
 
 def files(path: str) -> list[str]:
@@ -61,30 +78,33 @@ class CloudReader(DataSourceReader):
         self.options = options
 
     def partitions(self) -> list[Part]:
-        per = int(self.options.get("recordsPerPartition", RECORDS))
-        stride, budget = int(self.options.get("stride", 1)), self.options.get("maxPoints")
+        per = int(self.options.get("recordsperpartition", RECORDS))
+        stride, budget = int(self.options.get("stride", 1)), self.options.get("maxpoints")
         out = []
         for path in files(self.options["path"]):
             if formats.extension(path) not in READERS:
                 raise NotImplementedError(f"{path}: there is no decoder for this format here (LAZ needs one that is not installed)")
             count, own = formats.split_points(path), stride
             if budget and count is not None:
-                limit = max(int(budget), LEAST_BUDGET)
-                own = -(-count // limit) if count > limit else 1
+                own = stride_of(count, int(budget))
             if count is None:
-                out.append(Part(path, 0, None, own))
+                out.append(Part(path, 0, None, own, int(budget) if budget else None))
             else:
                 out += [Part(path, at, min(at + per, count), own) for at in range(0, max(count, 1), per)]
         return out
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        at = partition.first
+        at, stride = partition.first, None
         for columns in READERS[formats.extension(partition.path)](partition.path, partition.first, partition.last):
             n = len(columns["x"])
             index = columns.pop("__idx", np.arange(at, at + n))
             at += n
-            if partition.stride > 1:
-                chosen = kept(np.asarray(index, np.int64), partition.stride)
+            total = columns.pop("__total", None)
+            if partition.budget and stride is None:
+                stride = stride_of(total if total is not None else _count(partition.path), partition.budget)
+            step = stride or partition.stride
+            if step > 1:
+                chosen = index % step == 0 if formats.extension(partition.path) in BY_MODULO else kept(np.asarray(index, np.int64), step)
                 index, columns = index[chosen], {k: v[chosen] for k, v in columns.items()}
             arrays = []
             for field in ARROW:
@@ -160,10 +180,10 @@ class PointCloud(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> CloudReader:
-        return CloudReader(dict(self.options))
+        return CloudReader({k.lower(): v for k, v in self.options.items()})
 
     def writer(self, schema, overwrite: bool) -> CloudWriter:
-        return CloudWriter(dict(self.options), overwrite)
+        return CloudWriter({k.lower(): v for k, v in self.options.items()}, overwrite)
 
 
 def register(spark: SparkSession) -> None:

@@ -126,3 +126,48 @@ def test_formats_without_a_decoder(tmp_path):
     (tmp_path / "a.laz").write_bytes(b"LASF")
     with pytest.raises(NotImplementedError, match="no decoder"):
         pointcloud.CloudReader({"path": str(tmp_path / "a.laz")}).partitions()
+
+
+def test_column_names_and_layouts():
+    names = ["longitude", "latitude", "altitude", "label", "reflectance"]
+    assert formats.named_layout(names) == ["x", "y", "z", "classification", "intensity"]
+    assert formats.text_layout("a.xyzrgb", 7) == ["x", "y", "z", "r", "g", "b", "classification"]
+    assert formats.text_layout("a.pts", 5) == formats.text_layout("a.pts", 6) == ["x", "y", "z", "intensity"]
+    assert formats.text_layout("a.xyz", 6) == ["x", "y", "z", "r", "g", "b"] and formats.text_layout("a.csv", 9)[-1] == "classification"
+
+
+def test_intensity_is_scaled_by_the_whole_file(tmp_path, monkeypatch):
+    monkeypatch.setattr(formats, "CHUNK", 2)
+    for form, write in (("ascii", None), ("binary_little_endian", "<4f")):
+        path = tmp_path / f"{form}.ply"
+        head = f"ply\nformat {form} 1.0\nelement vertex 4\n" + "".join(f"property float {n}\n" for n in ("x", "y", "z", "intensity")) + "end_header\n"
+        rows = [(0, 0, 0, 5), (0, 0, 0, 10), (0, 0, 0, 50), (0, 0, 0, 100)]
+        body = b"".join(struct.pack(write, *r) for r in rows) if write else "".join(" ".join(map(str, r)) + "\n" for r in rows).encode()
+        path.write_bytes(head.encode() + body)
+        found = np.concatenate([c["intensity"] for c in formats.ply_points(str(path))])
+        assert np.allclose(found, [0.05, 0.1, 0.5, 1.0])
+
+
+def test_a_budget_holds_for_every_format(spark, tmp_path, monkeypatch):
+    pointcloud.register(spark)
+    n = 450_000
+    (tmp_path / "t.xyz").write_text("".join(f"{i} 0 0\n" for i in range(n)))
+    rows = spark.read.format("pointcloud").option("maxPoints", 1).load(str(tmp_path / "t.xyz"))
+    found = sorted(r.point_idx for r in rows.select("point_idx").collect())
+    assert len(found) == n // 3 and all(b // 3 == a for a, b in enumerate(found))
+    xyz = {a: np.arange(n, dtype=float) for a in "xyz"}
+    e57.write(str(tmp_path / "t.e57"), xyz)
+    rows = spark.read.format("pointcloud").option("maxPoints", 1).load(str(tmp_path / "t.e57"))
+    assert sorted(r.point_idx for r in rows.select("point_idx").collect()) == list(range(0, n, 3))
+    assert e57.count(str(tmp_path / "t.e57")) == n and e57.stations(str(tmp_path / "t.e57"))[0]["count"] == n
+
+
+def test_a_zero_quaternion_turns_nothing_and_unlimited_integers_are_refused():
+    import xml.etree.ElementTree as ET
+
+    pose = ET.fromstring("<pose><rotation>" + "".join(f"<{n}>0</{n}>" for n in "wxyz") + "</rotation></pose>")
+    assert np.allclose(e57.rotation(pose), np.eye(3))
+    turned = ET.fromstring("<pose><rotation><w>1</w><x>0</x><y>0</y><z>1</z></rotation></pose>")
+    assert np.allclose(e57.rotation(turned), [[0, -1, 0], [1, 0, 0], [0, 0, 1]])
+    with pytest.raises(formats.FormatError):
+        e57.Field(ET.fromstring('<rowIndex type="Integer"/>'))
