@@ -133,19 +133,18 @@ _CUTS = " UNION ALL ".join(
     f"WITH {_GRID}, q AS (SELECT a.i, a.j, a.z AS z0, b.z AS z1, c.z AS z2, d.z AS z3 FROM g a JOIN g b ON b.i = a.i + 1 AND b.j = a.j JOIN g c ON c.i = a.i + 1 AND c.j = a.j + 1 JOIN g d ON d.i = a.i AND d.j = a.j + 1), "
     f"l AS (SELECT q.*, n * 0.5::DOUBLE AS level FROM q, range(-100, 300) t(n) WHERE n * 0.5::DOUBLE > least(z0, z1, z2, z3) AND n * 0.5::DOUBLE <= greatest(z0, z1, z2, z3)), c AS ({_CUTS}), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY i, j, level ORDER BY n) - 1 AS k FROM c) "
-    "SELECT a.i, a.j, a.level, round(a.x, 6) AS x0, round(a.y, 6) AS y0, round(b.x, 6) AS x1, round(b.y, 6) AS y1 FROM r a JOIN r b ON a.i = b.i AND a.j = b.j AND a.level = b.level AND b.k = a.k + 1 AND a.k % 2 = 0"
+    "SELECT a.i, a.j, a.level, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM r a JOIN r b ON a.i = b.i AND a.j = b.j AND a.level = b.level AND b.k = a.k + 1 AND a.k % 2 = 0"
 )
 def contour_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = surfaces.height_grid(view(spark, sf_dir, "points").where("point_idx % 7 = 0"), 5.0)
-    found = surfaces.contours(grid, 0.5, 5.0)
-    return found.select("i", "j", "level", *(F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")))
+    return surfaces.contours(grid, 0.5, 5.0)
 
 
 _EDGE = "CASE WHEN (z{0} < 5) <> (z{1} < 5) THEN [x{0} + (x{1} - x{0}) * ((5 - z{0}) / (z{1} - z{0})), y{0} + (y{1} - y{0}) * ((5 - z{0}) / (z{1} - z{0}))] END"
 
 
 @query(
-    "SELECT id, round(p[1][1], 6) AS x0, round(p[1][2], 6) AS y0, round(p[2][1], 6) AS x1, round(p[2][2], 6) AS y1 FROM (SELECT id, list_filter(["
+    "SELECT id, p[1][1] AS x0, p[1][2] AS y0, p[2][1] AS x1, p[2][2] AS y1 FROM (SELECT id, list_filter(["
     + ", ".join(_EDGE.format(a, b) for a, b in ("ab", "bc", "ca"))
     + "], lambda e: e IS NOT NULL) AS p FROM (SELECT CAST(floor(point_idx / 3) AS BIGINT) AS id, "
     + ", ".join(f"max({c}) FILTER (WHERE point_idx % 3 = {k}) AS {c}{n}" for k, n in enumerate("abc") for c in "xyz")
@@ -154,7 +153,7 @@ _EDGE = "CASE WHEN (z{0} < 5) <> (z{1} < 5) THEN [x{0} + (x{1} - x{0}) * ((5 - z
 def mesh_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     corners = [F.max(F.when(F.col("point_idx") % 3 == k, F.col(c))).alias(f"{c}{n}") for k, n in enumerate("abc") for c in "xyz"]
     triangles = view(spark, sf_dir, "points").groupBy(F.floor(F.col("point_idx") / 3).cast("long").alias("id")).agg(*corners)
-    return surfaces.mesh_section(triangles, 5.0).select("id", *(F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")))
+    return surfaces.mesh_section(triangles, 5.0)
 
 
 _CELLS = "c AS (SELECT DISTINCT CAST(floor(x / 4) AS BIGINT) AS i, CAST(floor(y / 4) AS BIGINT) AS j FROM {points} WHERE z BETWEEN 4.9 AND 5.1 AND point_idx % 11 = 0)"
@@ -202,12 +201,8 @@ def clean_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.clean(_vectors(spark, sf_dir), steps, RADIUS).select("id")
 
 
-def _ranked(share: float) -> str:
-    return f"max(CASE WHEN r = floor((n - 1) * {share}::DOUBLE) THEN v END)"
-
-
 @query(
-    "SELECT round(" + _ranked(0.5) + ", 9) AS p50, round(" + _ranked(0.95) + ", 9) AS p95 FROM (SELECT d AS v, row_number() OVER (ORDER BY d) - 1 AS r, count(*) OVER () AS n FROM "
+    "SELECT round(" + _at(0.5) + ", 9) AS p50, round(" + _at(0.95) + ", 9) AS p95 FROM (SELECT d AS v, row_number() OVER (ORDER BY d) - 1 AS r, count(*) OVER () AS n FROM "
     "(SELECT sqrt(min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))) AS d FROM {vec_points} a, {vec_points} b WHERE a.vec_id % 2 = 1 AND b.vec_id % 2 = 0 GROUP BY a.vec_id) WHERE d <= 0.1::DOUBLE)"
 )
 def deviation_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,11 +262,11 @@ def space_to_room(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.find_or_create(wanted, rooms.withColumnRenamed("room_id", "id"), ["floor_id", "name"]).select("ref", "id")
 
 
-@query("SELECT element_id, max_by(e, e) AS stored, sum(n) AS findings FROM (SELECT f.element_id, f.n, x.element_id AS e FROM (SELECT element_id + 3 AS element_id, count(*) AS n FROM {findings} WHERE severity = 'warn' AND review = 'open' GROUP BY 1) f LEFT JOIN {elements} x ON f.element_id = x.element_id) GROUP BY element_id")
+@query("SELECT element_id, max(e) AS stored, CAST(max(n) AS BIGINT) AS findings FROM (SELECT f.element_id, f.n, x.element_id AS e FROM (SELECT element_id + 3 AS element_id, count(*) AS n FROM {findings} WHERE severity = 'warn' AND review = 'open' GROUP BY 1) f LEFT JOIN {elements} x ON f.element_id = x.element_id) GROUP BY element_id")
 def escalation_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = view(spark, sf_dir, "findings").where("severity = 'warn' and review = 'open'").groupBy((F.col("element_id") + 3).alias("element_id")).agg(F.count("*").alias("findings"))
     stored = view(spark, sf_dir, "elements").select("element_id", F.col("element_id").alias("stored"))
-    return asked.join(stored, "element_id", "left").select("element_id", "stored", F.col("findings").cast("decimal(38,0)").cast("long").alias("findings"))
+    return asked.join(stored, "element_id", "left").select("element_id", "stored", "findings")
 
 
 # Documents ------------------------------------------------------------------------------------------------------------
