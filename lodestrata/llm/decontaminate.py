@@ -11,7 +11,8 @@ class and below 1e-12 for those of its bound. A window's minima come from the mi
 A candidate is an (item, document) whose minima agree at least once. It is verified against all shingles of the whole
 document: it counts if at least ``threshold`` of the item's distinct shingles are in it. There are no false pairs.
 
-The items go out in blocks of ``BLOCK`` rows, whose size does not depend on the data; documents are never shuffled.
+The items go out in blocks of about ``BLOCK`` rows and ``BLOCK_CHARACTERS`` characters (one item of more is a block of its
+own); documents are never shuffled.
 
 Words are lower-cased runs between white space and punctuation, so case and punctuation don't hide a passage; a
 shingle is five words. Defined results: null text is empty; an item of fewer than five words has its whole sequence as
@@ -37,9 +38,10 @@ from .common import bound_batches, each_text, splitmix, table
 SHINGLE = 5
 THRESHOLD = 0.8
 HASHES = 64
-#: Items that are broadcast at once.
+#: Items that are broadcast at once, and characters of these.
 BLOCK = 20_000
-#: Shingles whose minima are taken at once, besides those of two windows before them.
+BLOCK_CHARACTERS = 32 << 20
+#: Shingles whose minima are taken at once; a power of two.
 SPAN = 1 << 13
 #: Punctuation and blanks outside ASCII: Latin-1 signs, general punctuation, CJK punctuation.
 MARKS = re.compile("[\u0085\u00a0-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u2000-\u206f\u3000-\u303f]")
@@ -95,22 +97,34 @@ class Items:
             seen = np.zeros(1 << bits, bool)  # most minima are no item's; this tells it by one look-up
             seen[keys & np.uint32((1 << bits) - 1)] = True
             self.classes.append((bound, keys[order], np.repeat(own, HASHES)[order], seen, np.uint32((1 << bits) - 1)))
-        self.reach = 2 * max(by_bound, default=0)
 
     def candidates(self, h: np.ndarray) -> set[int]:
-        """Items that share a minimum with a window of the document."""
+        """Items that share a minimum with a window of the document; memory does not depend on either's length."""
         found: set[int] = set()
+        before: list[np.ndarray | None] = [None] * len(self.classes)  # minima of the half window before
+        running: list[np.ndarray | None] = [None] * len(self.classes)  # of a half window that this part does not end
         for at in range(0, len(h), SPAN):
-            # With what lies before, each run that ends here lies in two halves of this part.
-            values = permuted(h[max(0, at - self.reach) : at + SPAN], self.salts)
-            for bound, keys, owner, seen, mask in self.classes:
-                half = np.minimum.reduceat(values, np.arange(0, values.shape[1], bound), axis=1)
-                window = half if half.shape[1] < 2 else np.minimum(half[:, 1:], half[:, :-1])
-                hit = np.unique(window[seen[window & mask]])
-                for a, b in zip(np.searchsorted(keys, hit), np.searchsorted(keys, hit, "right")):
-                    found.update(owner[a:b].tolist())
+            values = permuted(h[at : at + SPAN], self.salts)
+            for c, (bound, *_) in enumerate(self.classes):
+                if bound <= SPAN:  # both are powers of two: halves end where parts do
+                    half = np.minimum.reduceat(values, np.arange(0, values.shape[1], bound), axis=1)
+                else:
+                    least = values.min(axis=1, keepdims=True)
+                    half = running[c] = least if running[c] is None else np.minimum(running[c], least)
+                    if (at + SPAN) % bound and at + SPAN < len(h):
+                        continue
+                    running[c] = None
+                joined = half if before[c] is None else np.concatenate([before[c], half], axis=1)
+                before[c] = half[:, -1:]
+                self._look(c, joined if joined.shape[1] < 2 else np.minimum(joined[:, 1:], joined[:, :-1]), found)
         return found
 
+    def _look(self, c: int, window: np.ndarray, found: set[int]) -> None:
+        _, keys, owner, seen, mask = self.classes[c]
+        hit = np.unique(window[seen[window & mask]])
+        for a, b in zip(np.searchsorted(keys, hit), np.searchsorted(keys, hit, "right")):
+            found.update(owner[a:b].tolist())
+
     def contained(self, text: str, threshold: float) -> Iterator[tuple[int, int, int]]:
         """(item, its shingles, those in the text) for each item that the text contains."""
         h = shingles(text)
@@ -127,9 +141,10 @@ class Items:
 
 
 def _blocks(items: DataFrame) -> Iterator[Broadcast]:
-    """The items, in blocks of about ``BLOCK`` rows, as broadcasts."""
+    """The items, in blocks of about ``BLOCK`` rows and ``BLOCK_CHARACTERS`` characters, as broadcasts."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    blocks = max(1, -(-items.count() // BLOCK))
+    count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(1, -(-count // BLOCK), -(-size // BLOCK_CHARACTERS))
     for block in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         held = part.collect()

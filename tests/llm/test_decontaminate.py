@@ -62,3 +62,17 @@ def test_rows_are_judged_one_by_one(spark, make_docs):
     docs = [(None, f"before {leak} after"), (None, "a clean text without an id"), (5, f"{leak} again"), (5, "a clean text with the same id"), (6, "more text")]
     kept = d.decontaminate(make_docs(docs), spark.createDataFrame([(1, leak)], "item_id long, text string"))
     assert sorted(r.text for r in kept.collect()) == sorted([docs[1][1], docs[3][1], docs[4][1]])
+
+
+def test_parts_do_not_change_candidates(monkeypatch):
+    rnd = random.Random(21)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    items = [" ".join(rnd.choice(vocabulary) for _ in range(n)) for n in (6, 12, 40, 150, 700, 2500)]
+    filler = [rnd.choice(vocabulary) for _ in range(6000)]
+    documents = [" ".join(filler[:at] + item.split() + filler[at:]) for item in items for at in (0, 61, 1500, 6000)]
+    block = d.Items(list(range(len(items))), items)
+    whole = [block.candidates(d.shingles(x)) for x in documents]
+    for span in (16, 64, 1024):
+        monkeypatch.setattr(d, "SPAN", span)
+        assert [block.candidates(d.shingles(x)) for x in documents] == whole
+    assert all(k // 4 in found for k, found in enumerate(whole))
