@@ -10,7 +10,8 @@ at distance max(0, d - high, low - d) at least. Annuli are taken by that bound,
 first one whose bound exceeds its k-th best distance, as all that follow are no nearer. Scores are exact integers;
 only bounds are floating-point, and they are widened by more than their rounding error.
 
-Pivots are fitted on at most ``SAMPLE`` vectors, drawn by a hash of the id; every vector is indexed. Queries go out in
+Pivots are fitted on at most ``SAMPLE`` vectors, drawn by a hash of the id; every vector is indexed. The k-th best score in
+that sample bounds every query's search from the start, in each partition. Queries go out in
 blocks of ``QUERIES`` rows, whose size does not depend on the data; each task keeps k rows per query of a block, and
 these are merged by a grouped aggregate. Recall is 1: the index only decides the order of work.
 
@@ -113,7 +114,7 @@ class Best:
 
 def search(x: np.ndarray, ids: np.ndarray, uids: np.ndarray, near: np.ndarray, d: np.ndarray, queries: dict, best: Best) -> None:
     """Offer rows sorted by (pivot, distance) to ``best``, annulus by annulus."""
-    q, own, to_pivot, square, top = (queries[n] for n in ("x", "uid", "distance", "square", "top"))
+    q, own, to_pivot, square, top, floor = (queries[n] for n in ("x", "uid", "distance", "square", "top", "floor"))
     starts = [s for a, b in _runs(near) for s in range(a, b, ANNULUS)]
     ends = [min(s + ANNULUS, b) for a, b in _runs(near) for s in range(a, b, ANNULUS)]
     if not starts:
@@ -121,9 +122,10 @@ def search(x: np.ndarray, ids: np.ndarray, uids: np.ndarray, near: np.ndarray, d
     slack = 1e-6 * (top + 1)
 
     def reach(rows: np.ndarray) -> np.ndarray:
-        """Distance of each query's k-th best so far; infinite while it has fewer."""
-        far = np.sqrt(np.maximum(square[rows] + top**2 - 2 * best.score[rows, -1].astype(np.float64), 0)) + slack
-        return np.where(best.uid[rows, -1] < 0, np.inf, far)
+        """Distance of each query's k-th best so far, at most that of its k-th best in the sample; infinite without either."""
+        score = np.where(best.uid[rows, -1] < 0, floor[rows], np.maximum(best.score[rows, -1], floor[rows]))
+        far = np.sqrt(np.maximum(square[rows] + top**2 - 2 * score.astype(np.float64), 0)) + slack
+        return np.where(score == NONE, np.inf, far)
 
     pivot, low, high = near[starts], d[starts], d[np.array(ends) - 1]
     for g in np.unique(queries["near"]):  # queries of one pivot want the annuli in about the same order
@@ -165,10 +167,11 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     if width is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     top = math.sqrt(square) * (1 + 1e-12)
-    sample = rows.select("x", F.xxhash64("uid").alias("h")).orderBy("h").limit(SAMPLE).collect()
+    sample = rows.select("x", "uid", F.xxhash64("uid").alias("h")).orderBy("h").limit(SAMPLE).collect()
     padded = np.zeros((len(sample), width), np.int64)
     for i, r in enumerate(sample):
         padded[i, : len(r[0])] = r[0]
+    drawn = padded, np.array([r[1] for r in sample], np.int64)
     model = spark.sparkContext.broadcast((fit_pivots(lifted(padded, top), PIVOTS), width, top))
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +188,7 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     found = None
     for block in range(max(1, math.ceil(n / QUERIES))):
         part = queries.where(F.pmod(F.xxhash64("uid"), F.lit(max(1, math.ceil(n / QUERIES)))) == block)
-        sent = spark.sparkContext.broadcast(_block(part.toArrow(), model.value))
+        sent = spark.sparkContext.broadcast(_block(part.toArrow(), model.value, drawn, k))
         out = index.select("id", "x", "uid", "pivot", "distance").mapInArrow(_searcher(model, sent, k), FOUND)
         found = out if found is None else found.unionByName(out)
     best = found.groupBy("query_uid", "query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "uid"))), 1, k).alias("best"))
@@ -193,7 +196,18 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     return ranked.select("query_id", (F.col("i") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
 
 
-def _block(queries: pa.Table, model: tuple) -> dict:
+def floors(x: np.ndarray, own: np.ndarray, drawn: tuple[np.ndarray, np.ndarray], k: int) -> np.ndarray:
+    """The k-th best score of each query among the sample: no task need look at what is below it."""
+    sample, uids = drawn
+    out = np.full(len(x), NONE)
+    for at in range(0, len(x) if len(sample) >= k else 0, 512):
+        score = products(x[at : at + 512], sample)
+        score[own[at : at + 512, None] == uids[None, :]] = NONE
+        out[at : at + 512] = np.partition(score, -k, axis=1)[:, -k]
+    return out
+
+
+def _block(queries: pa.Table, model: tuple, drawn: tuple[np.ndarray, np.ndarray], k: int) -> dict:
     """A block of queries with all that a task needs of them."""
     pivots, width, top = model
     queries = queries.combine_chunks()
@@ -202,7 +216,7 @@ def _block(queries: pa.Table, model: tuple) -> dict:
     flat = np.concatenate([x.astype(np.float64), np.zeros((len(x), 1))], axis=1)
     d = distances(flat, pivots)
     ids, uids = (queries.column(c).to_numpy() for c in ("id", "uid"))
-    return {"x": x, "id": ids, "uid": uids, "distance": d, "near": d.argmin(axis=1), "square": (flat**2).sum(axis=1), "top": top}
+    return {"x": x, "id": ids, "uid": uids, "distance": d, "near": d.argmin(axis=1), "square": (flat**2).sum(axis=1), "top": top, "floor": floors(x, uids, drawn, k)}
 
 
 def _searcher(model, sent, k: int):
