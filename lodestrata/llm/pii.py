@@ -389,7 +389,8 @@ def detect(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by its kind in brackets; null text stays null."""
+    """``docs`` with every span of ``text`` replaced by its kind in brackets, and ``n_chars`` of a text so changed, if there
+    is such a column, by its new length; null text stays null."""
     slim = docs.select(F.lit(None).cast("long").alias("doc_id"), "text")
     model = Model.fit(store(proposed(slim, []).select("fold", "candidates"), "pii"))
     columns = docs.columns  # kept apart in one struct, so that their names clash with none here
@@ -407,7 +408,15 @@ def redact(docs: DataFrame) -> DataFrame:
     rest = F.substring(F.col("__text"), F.col("__r.at") + 1, F.char_length("__text"))
     rows = rows.withColumn("__r", F.aggregate("spans", start, step))
     clean = F.when(F.size("spans") == 0, F.col("__row.text")).otherwise(F.concat(F.array_join("__r.out", ""), rest))
-    return rows.select(*(clean.alias(c) if c == "text" else F.col("__row").getField(c).alias(c) for c in columns))
+    rows = rows.withColumn("__clean", clean)
+
+    def column(c: str) -> Column:
+        if c == "text":
+            return F.col("__clean").alias(c)
+        old = F.col("__row").getField(c)
+        return (F.when(F.size("spans") > 0, F.length("__clean").cast(docs.schema[c].dataType)).otherwise(old) if c == "n_chars" else old).alias(c)
+
+    return rows.select(*map(column, columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -347,13 +347,16 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows are told apart by a key of their own: an id that is null or repeated neither drops nor saves a row.
     """
-    kept = store(docs.withColumn("__uid", F.monotonically_increasing_id()), "keyed")
-    rows = kept.select(F.col("__uid").alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    columns = docs.columns  # kept apart in one struct, so that their names clash with none here
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.monotonically_increasing_id().alias("uid"))
+    kept = store(whole, "keyed")
+    rows = kept.select("uid", F.col("row").getField(id_col).cast("long").alias("doc_id"), F.col("row").getField(text_col).cast("string").alias("text"))
     labelled = cut(similar_components(rows))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid")
     best = labelled.groupBy("label").agg(F.min(order)["uid"].alias("best"))
-    dropped = labelled.join(best, "label").where("uid <> best").select(F.col("uid").alias("__uid"))
-    return kept.join(dropped, "__uid", "left_anti").select(*docs.columns)
+    dropped = labelled.join(best, "label").where("uid <> best").select("uid")
+    left = kept.join(dropped, "uid", "left_anti")
+    return left.select(*(F.col("row").getField(c).alias(c) for c in columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

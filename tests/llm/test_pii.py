@@ -94,7 +94,8 @@ def test_spans_beyond_the_base_patterns(spark, make_docs, hidden):
 def test_redaction_keeps_rows_columns_and_clean_texts(make_docs):
     df = make_docs([(1, "mail a.b@c.de or +1 (644) 555-7859, \u00e9nd"), (2, "nothing here"), (3, None), (3, None), (None, "1.2.3.4")])
     out = pii.redact(df)
-    assert out.columns == df.columns
+    assert out.columns == df.columns and out.schema == df.schema
+    assert {r.n_chars for r in pii.redact(df.withColumn("n_chars", pii.F.length("text").cast("long"))).collect()} == {len("mail [EMAIL] or [PHONE], \u00e9nd"), 12, None, 4}
     assert sorted((r.text for r in out.collect()), key=str) == sorted(["mail [EMAIL] or [PHONE], \u00e9nd", "nothing here", None, None, "[IP]"], key=str)
 
 
