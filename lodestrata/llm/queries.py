@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, hard_negatives, language_id, packing, pii, pivot_search, quality, simhash, toxicity, url_filter, warc
+from . import curriculum, decontaminate, hard_negatives, language_id, packing, pii, pivot_search, quality, simhash, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_normaliser": warc.query,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity_compression": toxicity.query,
     "op10_pivot_search": pivot_search.query,
     "op11_hard_negatives": hard_negatives.query,
+    "op12_curriculum": curriculum.query,
 }
 
 ORACLES: dict[str, str] = {
@@ -27,4 +28,5 @@ ORACLES: dict[str, str] = {
     "op2_url_cascade": url_filter.ORACLE,
     "op10_pivot_search": pivot_search.ORACLE,
     "op11_hard_negatives": hard_negatives.ORACLE,
+    "op12_curriculum": curriculum.ORACLE,
 }
