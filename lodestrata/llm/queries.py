@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curriculum, decontaminate, hard_negatives, language_id, packing, pii, pivot_search, quality, simhash, toxicity, url_filter, warc
+from . import curriculum, decontaminate, hard_negatives, language_id, packing, pii, pivot_search, quality, simhash, spelling, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_normaliser": warc.query,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pivot_search": pivot_search.query,
     "op11_hard_negatives": hard_negatives.query,
     "op12_curriculum": curriculum.query,
+    "op13_spelling_variants": spelling.query,
 }
 
 ORACLES: dict[str, str] = {
@@ -29,4 +30,5 @@ ORACLES: dict[str, str] = {
     "op10_pivot_search": pivot_search.ORACLE,
     "op11_hard_negatives": hard_negatives.ORACLE,
     "op12_curriculum": curriculum.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
 }
