@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cleaning, clipping, documents, frames, linking, octree, surfaces
 from ..operators.indexing import order_statistics
+from ..session import scratch
 from .fixtures import view
 from .spatial_catalog import CELL, RADIUS, _at, _deviation, _reach, _vectors
 
@@ -229,7 +230,30 @@ def octree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ifc_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = "CASE WHEN element_id % 3 = 0 THEN '$' ELSE concat(\"'Wall ''\", kind, \"'''\") END"
     line = F.expr(f"concat('#', element_id, '= IFCWALL(\\'', ifc_guid, '\\',#1,', {name}, ',$,#2,(#3,#4));')")
-    return linking.entities(linking.step_rows(view(spark, sf_dir, "elements").select(line.alias("value"))))
+    return linking.entities(linking.step_rows(view(spark, sf_dir, "elements").select(line.alias("value")))).drop("n_args")
+
+
+@query(
+    "SELECT e.ifc_guid AS guid, CASE e.element_id % 3 WHEN 0 THEN 'IFCCURTAINWALL' WHEN 1 THEN 'IFCPLATE' ELSE 'IFCMEMBER' END AS type, "
+    "concat(e.kind, '; it''s ', chr(1057), chr(233), ' /* no comment */') AS name, concat('Storey ', r.floor_id) AS storey FROM {elements} e JOIN {rooms} r USING (room_id)"
+)
+def ifc_model_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements as building models, a file a floor with numbers of its own, read back with the name of each element's storey."""
+    rooms = view(spark, sf_dir, "rooms").select("room_id", "floor_id")
+    own = view(spark, sf_dir, "elements").join(rooms, "room_id")
+    kind = F.expr("CASE element_id % 3 WHEN 0 THEN 'IFCCURTAINWALL' WHEN 1 THEN 'IFCPLATE' ELSE 'ifcmember' END")
+    entity = F.format_string(
+        "/* it's no; record */#%d = %s('%s',#7,\n'%s; it''s \\X2\\0421\\X0\\\\X\\E9 /* no comment */',$,(#1,(2.,'a;(')),#8,#9,$);\n"
+        "#%d=IFCRELCONTAINEDINSPATIALSTRUCTURE('r%d',#7,$,$,\n(#%d),#1);",
+        F.col("element_id") + 100, kind, F.col("ifc_guid"), F.col("kind"), -1 - F.col("element_id") + (1 << 40), F.col("element_id"), F.col("element_id") + 100,
+    )
+    storey = F.format_string("ISO-10303-21;\nHEADER;/* a\n; ' */\nDATA;\n#1=IFCBUILDINGSTOREY('s%d',#7,'Storey %d',$,$,#8,$,$,.ELEMENT.,0.);", "floor_id", "floor_id")
+    lines = own.select("floor_id", entity.alias("value")).unionByName(rooms.select("floor_id").distinct().select("floor_id", storey.alias("value")))
+    path = scratch(spark, "models")
+    lines.repartition("floor_id").write.partitionBy("floor_id").text(path)
+    model = linking.read_model(spark, path)
+    storeys = model.where(F.col("type") == linking.STOREY).select("file", F.col("ref").alias("container"), F.col("name").alias("storey"))
+    return model.join(storeys, ["file", "container"]).select("guid", "type", "name", "storey")
 
 
 @query(

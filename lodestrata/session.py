@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,7 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lodestrata-')}"
         context.setCheckpointDir(found)
@@ -27,3 +28,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder; the lineage ends there, and the loss of an executor costs nothing."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else has."""
+    return f"{shared_dir(spark)}/lodestrata/{name}-{uuid.uuid4().hex}"
