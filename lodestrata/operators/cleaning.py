@@ -161,18 +161,21 @@ def dense(points: DataFrame, voxel: float, least: int = 8) -> DataFrame:
     return celled.join(full, ["c0", "c1", "c2"], "left_semi").select(*points.columns)
 
 
-def auto_clean(points: DataFrame, spacing: float, k: int = 16, std: float = 1.0, least: int = 8, rounds: int = 5, share: float = 0.0008) -> DataFrame:
-    """Outliers, thin voxels (three spacings wide) and small components go, again until hardly a point does."""
+def auto_clean(points: DataFrame, spacing: float, k: int = 16, std: float = 1.0, least: int = 8, rounds: int = 100, share: float = 0.0008) -> DataFrame:
+    """Outliers, thin voxels (three spacings wide) and small components go, again until a round takes under ``share`` of them.
+
+    A cloud that has not settled after ``rounds`` is an error: what is left then depends on where it was stopped.
+    """
     n = points.count()
     for _ in range(rounds):
         points = points.join(statistical_outliers(points, k, std, 2 * spacing), "id", "left_semi")
         points = dense(points, 3 * spacing, least)
         points = cut(points.join(largest(points, 3 * spacing), "id", "left_semi"))
         left = points.count()
-        if n - left < share * n:
-            break
+        if n - left < share * n or not left:
+            return points
         n = left
-    return points
+    raise RuntimeError(f"the cloud did not settle in {rounds} rounds: {n} points are left and still going")
 
 
 def rigid_step(pairs: DataFrame) -> DataFrame:

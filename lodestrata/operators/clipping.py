@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .indexing import with_index
+
 
 def slab(axis: Column, at: float, thickness: float) -> Column:
     return axis.between(at - thickness / 2, at + thickness / 2)
@@ -36,14 +39,26 @@ def polygon(x: Column, y: Column, ring: Sequence[tuple[float, float]]) -> Column
     return F.size(F.filter(edges, lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
 
 
+#: Planes that are held by an expression at once.
+PLANES = 64
+
+
 def on_planes(points: DataFrame, planes: DataFrame, tolerance: float) -> DataFrame:
-    """``points`` that no plane (a, b, c, d; unit normals, few rows) protects: none is nearer than the tolerance."""
-    held = F.broadcast(planes.limit(64).agg(F.collect_list(F.struct("a", "b", "c", "d")).alias("planes")))  # at most 64 planes
+    """``points`` that no plane (a, b, c, d; unit normals) protects: none is nearer than the tolerance.
+
+    Planes go out in blocks of ``PLANES``, as many as there are; each block is one row.
+    """
+    held = cut(planes.select("a", "b", "c", "d"))
+    held = with_index(held, ["a", "b", "c", "d"], "no").withColumn("block", F.floor(F.col("no") / PLANES).cast("long"))
+    blocks = cut(held.groupBy("block").agg(F.collect_list(F.struct("a", "b", "c", "d")).alias("planes")))
 
     def near(p: Column) -> Column:
         return F.abs(p["a"] * F.col("x") + p["b"] * F.col("y") + p["c"] * F.col("z") - p["d"]) <= tolerance
 
-    return points.crossJoin(held).where(~F.exists("planes", near)).drop("planes")
+    for block in range(blocks.count()):
+        one = F.broadcast(blocks.where(F.col("block") == block).select("planes"))
+        points = points.crossJoin(one).where(~F.exists("planes", near)).drop("planes")
+    return points
 
 
 def front_of_gap(points: DataFrame, ray: Sequence[str], depth: str, spacing: float) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def height_grid(points: DataFrame, cell: float, highest: bool = True) -> DataFrame:
     """(i, j, z): the highest or lowest point of each cell."""
@@ -68,3 +70,115 @@ def outline(cells: DataFrame) -> DataFrame:
     asked = own.select("i", "j", F.explode(F.array(*(F.struct(F.lit(s).alias("side"), (F.col("i") + a).alias("ni"), (F.col("j") + b).alias("nj")) for s, a, b in sides))).alias("s")).select("i", "j", "s.*")
     there = own.select(F.col("i").alias("ni"), F.col("j").alias("nj"))
     return asked.join(there, ["ni", "nj"], "left_anti").select("i", "j", "side")
+
+
+#: Sides of a cell as directed edges with the cell to their left: below (east), right (north), above (west), left (south).
+_SIDES = (("below", 0, -1, 0, 0, 1, 0), ("right", 1, 0, 1, 0, 1, 1), ("above", 0, 1, 1, 1, 0, 1), ("left", -1, 0, 0, 1, 0, 0))
+#: Cells are numbered within this distance of the origin.
+_REACH = 1 << 29
+
+
+def half_edges(cells: DataFrame) -> DataFrame:
+    """(id, next, x, y, turns): the open sides of occupied cells (i, j) as directed edges, each with the one that follows it.
+
+    The occupied side is to the left. Where two cells touch at a corner only, an edge goes on along its own cell. ``x``, ``y`` is the
+    edge's end, ``turns`` whether the next one has another direction. An id holds i, j and the side, in this order.
+    """
+    far = (F.abs("i") >= _REACH) | (F.abs("j") >= _REACH)
+    own = cells.select("i", "j").distinct()
+    own = own.withColumn("i", F.when(far, F.raise_error(F.lit("a cell is too far from the origin"))).otherwise(F.col("i")))
+    sides = outline(own)
+    number = F.element_at(F.create_map(*(F.lit(v) for k, s in enumerate(_SIDES) for v in (s[0], k))), F.col("side"))
+    sides = sides.withColumn("d", number)
+
+    def corner(at: int) -> Column:
+        x = F.element_at(F.array(*(F.lit(s[at]) for s in _SIDES)), F.col("d") + 1)
+        y = F.element_at(F.array(*(F.lit(s[at + 1]) for s in _SIDES)), F.col("d") + 1)
+        return F.struct((F.col("i") + x).alias("x"), (F.col("j") + y).alias("y"))
+
+    edge_id = F.shiftleft(F.col("i") + _REACH, 32) + (F.col("j") + _REACH) * 4 + F.col("d")
+    edges = sides.select(edge_id.alias("id"), "d", F.explode(F.array(*(F.struct(F.lit(n).alias("n"), corner(at).alias("v")) for n, at in (("out", 3), ("in", 5))))).alias("e"))
+    edge = F.struct("id", "d")
+    at = edges.groupBy("e.v").agg(*(F.collect_list(F.when(F.col("e.n") == n, edge)).alias(n) for n in ("in", "out")))  # two of each at most
+    # Of the edges that leave the corner the one that turns left most follows.
+    arrived = at.select("v", "out", F.explode("in").alias("a"))
+    after = F.element_at(F.array_sort(F.transform("out", lambda o: F.struct(F.pmod(F.col("a.d") - o["d"] + 1, F.lit(4)).alias("turn"), o["id"].alias("id"), o["d"].alias("d")))), 1)
+    return arrived.withColumn("o", after).select("a.id", F.col("o.id").alias("next"), "v.x", "v.y", (F.col("o.d") != F.col("a.d")).alias("turns"))
+
+
+def cycles(links: DataFrame) -> DataFrame:
+    """(id, loop, place, length) for links (id, next) that form cycles: the smallest id of the cycle, and steps from it.
+
+    Pointer doubling: after k rounds each row knows the smallest id among the 2^k rows from it on, where it comes first and,
+    once it comes twice, the length of the cycle. A cycle is done when 2^k is twice its length and drops out; the number of
+    rounds is the logarithm of the longest. One join a round; nothing reaches the driver but whether rows are left.
+    """
+    width = 1
+    rows = cut(links.select("id", "next", F.col("id").alias("least"), F.lit(0).cast("long").alias("first"), F.lit(None).cast("long").alias("length")))
+    done = []
+    while True:
+        ahead = rows.select(F.col("id").alias("next"), F.col("next").alias("next2"), F.col("least").alias("l2"), F.col("first").alias("f2"), F.col("length").alias("n2"))
+        both = rows.join(ahead, "next")
+        there = F.col("f2") + width
+        first = F.when(F.col("least") <= F.col("l2"), F.col("first")).otherwise(there)
+        length = F.when(F.col("least") < F.col("l2"), F.col("length")).when(F.col("least") > F.col("l2"), F.col("n2")).otherwise(F.coalesce("length", there - F.col("first")))
+        rows = cut(both.select("id", F.col("next2").alias("next"), F.least("least", "l2").alias("least"), first.alias("first"), length.alias("length")))
+        width *= 2
+        settled = F.coalesce(F.col("length") * 2 <= width, F.lit(False))
+        done.append(rows.where(settled))
+        rows = rows.where(~settled)
+        if rows.isEmpty():
+            break
+    found = done[0]
+    for d in done[1:]:
+        found = found.unionByName(d)
+    return found.select("id", F.col("least").alias("loop"), F.pmod(F.col("length") - F.col("first"), F.col("length")).alias("place"), "length")
+
+
+def loops(cells: DataFrame) -> DataFrame:
+    """(loop, place, x, y, area, outer): the corners of the closed outlines of occupied cells, in order.
+
+    ``place`` counts sides from the loop's smallest edge. Outer rings run counter-clockwise and have a positive area; holes
+    run clockwise and have a negative one, in cells.
+    """
+    edges = cut(half_edges(cells))
+    placed = edges.join(cycles(edges), "id")
+    # The shoelace sum of upright edges: up adds x, down takes it away.
+    d = F.pmod(F.col("id"), F.lit(4))
+    areas = placed.groupBy("loop").agg(F.sum(F.when(d == 1, F.col("x")).when(d == 3, -F.col("x")).otherwise(0)).cast("long").alias("area"))
+    return placed.where("turns").join(areas, "loop").select("loop", "place", "x", "y", "area", (F.col("area") > 0).alias("outer"))
+
+
+def fill_inward(known: DataFrame, holes: DataFrame, colours: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
+    """(i, j, ring, colours): the cells of ``holes`` that known cells can reach, coloured ring by ring from the edge inward.
+
+    ``known`` has i, j and whole colours, ``holes`` i, j; a cell in both is known. A cell's colour is the mean, rounded
+    half up, of its neighbours in the ring before, of eight at most. Neighbours are at most a ring apart, so a round joins the
+    last ring with the holes and leaves out the cells of the last two; its work is that of the ring, and rounds are as
+    many as the hole is deep.
+    """
+    keys = ["i", "j"]
+    known = known.select(*keys, *colours)
+    open_ = cut(holes.select(*keys).distinct().join(known.select(*keys), keys, "left_anti"))
+    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b))
+    last = known.withColumn("ring", F.lit(0))
+    before, rings = None, []
+    while True:
+        sent = last.select("ring", *colours, F.explode(steps).alias("s"), *keys)
+        sent = sent.select((F.col("i") + F.col("s.a")).alias("i"), (F.col("j") + F.col("s.b")).alias("j"), "ring", *colours)
+        got = sent.groupBy(*keys, "ring").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in colours))
+        got = got.join(open_, keys, "left_semi")
+        if rings:
+            got = got.join(last.select(*keys), keys, "left_anti")
+        if before is not None:
+            got = got.join(before.select(*keys), keys, "left_anti")
+        # floor((2 sum + n) / 2 n): half up without a fraction
+        mean = [F.floor((F.col(c) * 2 + F.col("n")) / (F.col("n") * 2)).cast("long").alias(c) for c in colours]
+        before, last = (last if rings else None), cut(got.select(*keys, (F.col("ring") + 1).alias("ring"), *mean))
+        if last.isEmpty():
+            break
+        rings.append(last)
+    out = last
+    for ring in rings:
+        out = out.unionByName(ring)
+    return out

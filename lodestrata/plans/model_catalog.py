@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, clipping, documents, frames, linking, octree, surfaces
+from ..operators import cleaning, clipping, documents, frames, linking, normals, octree, revisions, surfaces
 from ..operators.indexing import order_statistics
-from ..session import scratch
+from ..session import cut, scratch
 from .fixtures import view
 from .spatial_catalog import CELL, RADIUS, _at, _deviation, _reach, _vectors
 
@@ -112,20 +112,20 @@ def depth_gap_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT point_idx FROM {points}, (SELECT avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, 10.0::DOUBLE AS r FROM {points} WHERE point_idx % 2 = 0) "
+    "SELECT point_idx FROM {points}, (SELECT avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, 10.0::DOUBLE AS r FROM {points}) "
     "WHERE (x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz) <= 2.5::DOUBLE * 2.5::DOUBLE * r * r"
 )
 def prune_sphere(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = view(spark, sf_dir, "points")
-    centre = points.where("point_idx % 2 = 0").agg(*(F.avg(a).alias(f"c{a}") for a in "xyz"))
+    centre = points.agg(*(F.avg(a).alias(f"c{a}") for a in "xyz"))
     return clipping.prune(points.crossJoin(F.broadcast(centre)), [F.col(f"c{a}") for a in "xyz"], F.lit(10.0)).select("point_idx")  # one row
 
 
 # Surfaces -------------------------------------------------------------------------------------------------------------
-_GRID = "g AS (SELECT CAST(floor(x / 5) AS BIGINT) AS i, CAST(floor(y / 5) AS BIGINT) AS j, max(z) AS z FROM {points} WHERE point_idx % 7 = 0 GROUP BY ALL)"
+_GRID = "g AS (SELECT CAST(floor(x) AS BIGINT) AS i, CAST(floor(y) AS BIGINT) AS j, max(z) AS z FROM {points} GROUP BY ALL)"
 _SIDES = [("i", "j", "z0", "i + 1", "j", "z1"), ("i + 1", "j", "z1", "i + 1", "j + 1", "z2"), ("i + 1", "j + 1", "z2", "i", "j + 1", "z3"), ("i", "j + 1", "z3", "i", "j", "z0")]
 _CUTS = " UNION ALL ".join(
-    f"SELECT i, j, level, {n} AS n, ({xa} + ({xb} - ({xa})) * ((level - {za}) / ({zb} - {za}))) * 5 AS x, ({ya} + ({yb} - ({ya})) * ((level - {za}) / ({zb} - {za}))) * 5 AS y FROM l WHERE ({za} < level) <> ({zb} < level)"
+    f"SELECT i, j, level, {n} AS n, ({xa} + ({xb} - ({xa})) * ((level - {za}) / ({zb} - {za}))) AS x, ({ya} + ({yb} - ({ya})) * ((level - {za}) / ({zb} - {za}))) AS y FROM l WHERE ({za} < level) <> ({zb} < level)"
     for n, (xa, ya, za, xb, yb, zb) in enumerate(_SIDES)
 )
 
@@ -137,8 +137,7 @@ _CUTS = " UNION ALL ".join(
     "SELECT a.i, a.j, a.level, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM r a JOIN r b ON a.i = b.i AND a.j = b.j AND a.level = b.level AND b.k = a.k + 1 AND a.k % 2 = 0"
 )
 def contour_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = surfaces.height_grid(view(spark, sf_dir, "points").where("point_idx % 7 = 0"), 5.0)
-    return surfaces.contours(grid, 0.5, 5.0)
+    return surfaces.contours(surfaces.height_grid(view(spark, sf_dir, "points"), 1.0), 0.5, 1.0)
 
 
 _EDGE = "CASE WHEN (z{0} < 5) <> (z{1} < 5) THEN [x{0} + (x{1} - x{0}) * ((5 - z{0}) / (z{1} - z{0})), y{0} + (y{1} - y{0}) * ((5 - z{0}) / (z{1} - z{0}))] END"
@@ -157,7 +156,12 @@ def mesh_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surfaces.mesh_section(triangles, 5.0)
 
 
-_CELLS = "c AS (SELECT DISTINCT CAST(floor(x / 4) AS BIGINT) AS i, CAST(floor(y / 4) AS BIGINT) AS j FROM {points} WHERE z BETWEEN 4.9 AND 5.1 AND point_idx % 11 = 0)"
+_CELLS = "c AS (SELECT DISTINCT CAST(floor(x / 0.5) AS BIGINT) AS i, CAST(floor(y) AS BIGINT) AS j FROM {points} WHERE z BETWEEN 4.9 AND 5.1)"
+
+
+def _occupied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = view(spark, sf_dir, "points").where(clipping.slab(F.col("z"), 5.0, 0.2))
+    return points.select(F.floor(F.col("x") / 0.5).cast("long").alias("i"), F.floor("y").cast("long").alias("j"))
 
 
 @query(
@@ -165,8 +169,65 @@ _CELLS = "c AS (SELECT DISTINCT CAST(floor(x / 4) AS BIGINT) AS i, CAST(floor(y
     "SELECT c.i, c.j, side FROM c, s WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.i = c.i + s.a AND o.j = c.j + s.b)"
 )
 def section_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = view(spark, sf_dir, "points").where("point_idx % 11 = 0").where(clipping.slab(F.col("z"), 5.0, 0.2))
-    return surfaces.outline(points.select(F.floor(F.col("x") / 4).cast("long").alias("i"), F.floor(F.col("y") / 4).cast("long").alias("j")))
+    return surfaces.outline(_occupied(spark, sf_dir))
+
+
+#: Sides by number: where the cell to the left ahead, and the one to the right ahead, lie from it.
+_AHEAD = "(VALUES (0, 0, -1, 1, 0, 1, -1, 1, 0), (1, 1, 0, 0, 1, 1, 1, 1, 1), (2, 0, 1, -1, 0, -1, 1, 0, 1), (3, -1, 0, 0, -1, -1, -1, 0, 0)) t(d, oi, oj, ai, aj, ri, rj, ex, ey)"
+
+
+@query(
+    f"WITH RECURSIVE {_CELLS}, k AS (SELECT i, j, d, i + ai AS ai, j + aj AS aj, i + ri AS ri, j + rj AS rj, i + ex AS x, j + ey AS y FROM c, {_AHEAD} WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.i = c.i + oi AND o.j = c.j + oj)), "
+    "s AS (SELECT k.*, a.i IS NOT NULL AS ahead, r.i IS NOT NULL AS beside FROM k LEFT JOIN c a ON a.i = k.ai AND a.j = k.aj LEFT JOIN c r ON r.i = k.ri AND r.j = k.rj), "
+    "f AS (SELECT x, y, d, (i + 536870912) * 4294967296 + (j + 536870912) * 4 + d AS id, CASE WHEN NOT ahead THEN (i + 536870912) * 4294967296 + (j + 536870912) * 4 + (d + 1) % 4 "
+    "WHEN NOT beside THEN (ai + 536870912) * 4294967296 + (aj + 536870912) * 4 + d ELSE (ri + 536870912) * 4294967296 + (rj + 536870912) * 4 + (d + 3) % 4 END AS nxt, ahead AND NOT beside AS straight FROM s), "
+    "w(loop, cur, place) AS (SELECT id, id, 0::BIGINT FROM f UNION ALL SELECT w.loop, f.nxt, w.place + 1 FROM w JOIN f ON w.cur = f.id WHERE f.nxt > w.loop), "
+    "l AS (SELECT DISTINCT w.loop FROM w JOIN f ON w.cur = f.id AND f.nxt = w.loop), p AS (SELECT w.loop, w.place, f.* FROM w JOIN l ON w.loop = l.loop JOIN f ON f.id = w.cur), "
+    "a AS (SELECT loop, CAST(sum(CASE d WHEN 1 THEN x WHEN 3 THEN -x ELSE 0 END) AS BIGINT) AS area FROM p GROUP BY loop) SELECT loop, place, x, y, area, area > 0 AS outer FROM p JOIN a USING (loop) WHERE NOT straight"
+)
+def section_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surfaces.loops(_occupied(spark, sf_dir))
+
+
+_PATCH = "i BETWEEN 40 AND 100 AND j BETWEEN 8 AND 40"
+
+
+@query(
+    "WITH RECURSIVE g AS (SELECT CAST(floor(x * 2) AS BIGINT) AS i, CAST(floor(y) AS BIGINT) AS j, count(*) % 256 AS r, CAST(sum(classification) % 256 AS BIGINT) AS g, max(scan_id) * 60 AS b FROM {points} GROUP BY 1, 2), "
+    f"o AS (SELECT i, j FROM g WHERE {_PATCH}), k AS (SELECT * FROM g WHERE NOT ({_PATCH})), "
+    "m AS (SELECT a.a, b.b FROM (VALUES (-1), (0), (1)) a(a), (VALUES (-1), (0), (1)) b(b)), "
+    "d(i, j, ring) AS (SELECT i, j, 0 FROM k UNION SELECT o.i, o.j, d.ring + 1 FROM d CROSS JOIN m JOIN o ON o.i = d.i + m.a AND o.j = d.j + m.b WHERE d.ring < 30), "
+    "h AS (SELECT i, j, min(ring) AS ring FROM d GROUP BY 1, 2), "
+    "f AS (SELECT i, j, 0 AS ring, r::BIGINT AS r, g, b::BIGINT AS b FROM k UNION ALL SELECT h.i, h.j, h.ring, (2 * sum(f.r) + count(*)) // (2 * count(*)), (2 * sum(f.g) + count(*)) // (2 * count(*)), (2 * sum(f.b) + count(*)) // (2 * count(*)) "
+    "FROM f CROSS JOIN m JOIN h ON h.ring = f.ring + 1 AND h.i = f.i + m.a AND h.j = f.j + m.b GROUP BY h.i, h.j, h.ring) SELECT i, j, ring, CAST(r AS BIGINT) AS r, CAST(g AS BIGINT) AS g, CAST(b AS BIGINT) AS b FROM f WHERE ring > 0"
+)
+def hole_fill_inward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells below a removed object, coloured from its edge inward."""
+    colours = [(F.count("*") % 256).alias("r"), (F.sum("classification") % 256).alias("g"), (F.max("scan_id") * 60).cast("long").alias("b")]
+    cells = view(spark, sf_dir, "points").groupBy(F.floor(F.col("x") * 2).cast("long").alias("i"), F.floor("y").cast("long").alias("j")).agg(*colours)
+    return surfaces.fill_inward(cells.where(f"not ({_PATCH})"), cells.where(_PATCH))
+
+
+_COV = ", ".join(f"sum((b.{p} - a.{p}) * (b.{r} - a.{r})) / 7 - sum(b.{p} - a.{p}) / 7 * (sum(b.{r} - a.{r}) / 7) AS {p}{r}" for p, r in ("xx", "xy", "xz", "yy", "yz", "zz"))
+
+
+@query(
+    "WITH v AS (SELECT vec_id AS id, x, y, z FROM {vec_points}), e AS (SELECT * FROM v WHERE id % 2 = 0), "
+    "r AS (SELECT a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z), b.id) AS k FROM e a JOIN e b ON a.id <> b.id), "
+    f"c AS (SELECT r.id, {_COV} FROM r JOIN e a ON a.id = r.id JOIN e b ON b.id = r.other WHERE k <= 6 GROUP BY r.id), "
+    "p AS (SELECT *, (xx + yy + zz) / 3 AS q, sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM c), "
+    "l AS (SELECT *, q + 2 * p * cos(acos(greatest(-1, least(1, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (p * p * p) / 2))) / 3 + 2 * pi() / 3) AS l FROM p), "
+    # Two columns of the adjoint of (A - l) span the same line; the one with the largest diagonal is the stablest.
+    "j AS (SELECT *, (yy - l) * (zz - l) - yz * yz AS jx, (xx - l) * (zz - l) - xz * xz AS jy, (xx - l) * (yy - l) - xy * xy AS jz, xz * yz - xy * (zz - l) AS jxy, xy * yz - xz * (yy - l) AS jxz, xy * xz - yz * (xx - l) AS jyz FROM l), "
+    "n AS (SELECT id, CASE WHEN jx >= jy AND jx >= jz THEN [jx, jxy, jxz] WHEN jy >= jz THEN [jxy, jy, jyz] ELSE [jxz, jyz, jz] END AS u FROM j), "
+    "d AS (SELECT o.id, e.id AS other, sqrt((o.x - e.x) * (o.x - e.x) + (o.y - e.y) * (o.y - e.y) + (o.z - e.z) * (o.z - e.z)) AS d, "
+    "((o.x - e.x) * u[1] + (o.y - e.y) * u[2] + (o.z - e.z) * u[3]) * CASE WHEN u[3] <> 0 THEN sign(u[3]) WHEN u[2] <> 0 THEN sign(u[2]) ELSE sign(u[1]) END AS side, "
+    "row_number() OVER (PARTITION BY o.id ORDER BY (o.x - e.x) * (o.x - e.x) + (o.y - e.y) * (o.y - e.y) + (o.z - e.z) * (o.z - e.z), e.id) AS k FROM v o JOIN e ON o.id % 2 = 1 JOIN n ON n.id = e.id) "
+    f"SELECT o.id, CASE WHEN d.d <= {RADIUS} THEN d.other END AS other, CASE WHEN d.d <= {RADIUS} THEN round(CASE WHEN side < 0 THEN -d.d ELSE d.d END, 9) END AS d FROM v o JOIN d ON d.id = o.id AND d.k = 1"
+)
+def deviation_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = normals.signed_deviation(_vectors(spark, sf_dir, "vec_id % 2 = 1"), _vectors(spark, sf_dir, "vec_id % 2 = 0"), RADIUS, 6, RADIUS)
+    return found.select("id", "other", F.round("d", 9).alias("d"))
 
 
 # Clusters and cleaning ------------------------------------------------------------------------------------------------
@@ -359,3 +420,24 @@ def first_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def job_id_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     job = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("job-"), "page_id")).otherwise(F.col("url"))
     return view(spark, sf_dir, "html_docs").select("page_id", job.rlike("^[a-zA-Z0-9:_-]{1,128}$").alias("valid"))
+
+
+# Revisions ------------------------------------------------------------------------------------------------------------
+_OPERATION = "CASE event_id % 5 WHEN 3 THEN 'undo' WHEN 4 THEN CASE WHEN event_id % 3 = 0 THEN 'redo' ELSE 'undo' END WHEN 2 THEN 'redo' ELSE 'save' END"
+
+
+@query(
+    "WITH RECURSIVE j AS (SELECT project, event_id, " + _OPERATION + " AS operation, row_number() OVER (PARTITION BY project ORDER BY event_id) AS k FROM {operations}), "
+    # The branch as a list: a save cuts it at the cursor and appends itself.
+    "s AS (SELECT project, 0::BIGINT AS event_id, '' AS operation, 0::BIGINT AS k, 0::BIGINT AS place, []::BIGINT[] AS branch FROM j WHERE k = 1 "
+    "UNION ALL SELECT j.project, j.event_id, j.operation, j.k, CASE j.operation WHEN 'save' THEN s.place + 1 WHEN 'undo' THEN greatest(s.place - 1, 0) ELSE least(s.place + 1, len(s.branch)) END, "
+    "CASE j.operation WHEN 'save' THEN list_append(s.branch[1:s.place], j.event_id) ELSE s.branch END FROM s JOIN j ON j.project = s.project AND j.k = s.k + 1) "
+    "SELECT project, event_id, operation, place, CAST(len(branch) AS BIGINT) AS top, CASE WHEN place > 0 THEN branch[place] END AS revision FROM s WHERE k > 0"
+)
+def revision_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The journal replayed in two halves, the second from the checkpointed end of the first."""
+    journal = view(spark, sf_dir, "operations").withColumn("operation", F.expr(_OPERATION))
+    middle = journal.agg(F.max("event_id")).first()[0] // 2
+    first = cut(revisions.replay(journal.where(F.col("event_id") <= middle)))
+    held = revisions.state(first)
+    return first.unionByName(revisions.replay(journal.where(F.col("event_id") > middle), *held))
