@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import io
+import lzma
+import re
 import zipfile
+import zlib
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +18,15 @@ from pyspark.sql import functions as F
 HEAD, CONTROL = 8192, 0.1
 #: Bytes of one packed part of a file that are taken at most: more is an error, not a cut.
 PART = 256 << 20
-PARTS = {"docx": ("word/document.xml",), "xlsx": ("xl/sharedStrings.xml", "xl/worksheets/")}
+PACKED = ("docx", "xlsx")
+#: Bytes of a file that is taken whole; larger ones have an error.
+MOST = 512 << 20
+#: Byte-order marks and their encodings; bytes that are no control bytes.
+MARKS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
+TEXT_BYTES = bytes([9, 10, 11, 12, 13, *range(32, 256)])
+#: What a damaged, encrypted or strangely packed archive raises.
+BROKEN = (zipfile.BadZipFile, zlib.error, lzma.LZMAError, ElementTree.ParseError, ValueError, KeyError, IndexError, RuntimeError, NotImplementedError, EOFError, OSError)
+CELLS = "path string, sheet string, row int, column int, value string"
 READ = "path string, kind string, text string, error string"
 
 
@@ -47,35 +59,144 @@ def is_binary(head: Column) -> Column:
     return F.contains(head, F.lit("\0")) | (control >= CONTROL * F.length(head)) & (F.length(head) > 0)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(path, kind, text, error) of the files of a folder: docx and xlsx by their parts, others as UTF-8 if they are text.
-
-    Empty files give no row: the file source passes over them.
+def decoded(content: bytes, fallback: str) -> str:
+    """Text by its byte-order mark, as UTF-8 if it is that, or else in the code page ``fallback``; unmapped bytes are marked."""
+    for mark, page in MARKS:
+        if content.startswith(mark):
+            return content[len(mark) :].decode(page, "replace")
+    try:
+        return content.decode("utf-8")
+    except UnicodeDecodeError:
+        return content.decode(fallback, "replace")
+
+
+def looks_binary(content: bytes) -> bool:
+    """The rule of :func:`is_binary` on bytes; files with a byte-order mark are text."""
+    head = content[:HEAD]
+    if any(head.startswith(mark) for mark, _ in MARKS):
+        return False
+    return b"\0" in head or bool(head) and len(head.translate(None, TEXT_BYTES)) >= CONTROL * len(head)
+
+
+def _part(packed: zipfile.ZipFile, name: str) -> bytes:
+    if packed.getinfo(name).file_size > PART:
+        raise ValueError(f"{name} is larger than {PART} bytes")
+    return packed.read(name)
+
+
+def _local(tag: str) -> str:
+    return tag.rpartition("}")[2]
+
+
+def _said(node: ElementTree.Element) -> str:
+    """The text of a rich string, without its phonetic reading."""
+    if _local(node.tag) == "rPh":
+        return ""
+    return (node.text or "" if _local(node.tag) == "t" else "") + "".join(map(_said, node))
+
+
+def workbook_cells(packed: zipfile.ZipFile) -> Iterator[tuple[str, int, int, str]]:
+    """(sheet, row, column, value) of the filled cells of a workbook, from 1; shared and inline strings are resolved."""
+    names = packed.namelist()
+    shared = [_said(si) for si in ElementTree.fromstring(_part(packed, "xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
+    titles = {}
+    if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= set(names):
+        targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(_part(packed, "xl/_rels/workbook.xml.rels"))}
+        for node in ElementTree.fromstring(_part(packed, "xl/workbook.xml")).iter():
+            if _local(node.tag) == "sheet":
+                key = next((v for k, v in node.attrib.items() if _local(k) == "id"), None)
+                target = targets.get(key, "")
+                titles[target.lstrip("/") if target.startswith("/") else f"xl/{target}"] = node.get("name", "")
+    if shared and not any(n.startswith("xl/worksheets/") for n in names):  # strings without a sheet: a column of them
+        yield from (("", row, 1, value) for row, value in enumerate(shared, 1))
+    sheets = [n for n in titles if n in names] or sorted(n for n in names if n.startswith("xl/worksheets/") and n.endswith(".xml"))
+    for name in sheets:
+        title, at_row = titles.get(name, name.rpartition("/")[2].removesuffix(".xml")), 0
+        for row in ElementTree.fromstring(_part(packed, name)).iter():
+            if _local(row.tag) != "row":
+                continue
+            at_row, at_column = int(row.get("r") or at_row + 1), 0
+            for c in row:
+                letters = re.match("[A-Z]*", c.get("r") or "").group()
+                at_column = sum((ord(x) - 64) * 26**k for k, x in enumerate(reversed(letters))) or at_column + 1
+                inside = {_local(x.tag): x for x in c}
+                value = inside["v"].text or "" if "v" in inside else ""
+                kind = c.get("t")
+                if kind == "s":
+                    value = shared[int(value)]
+                elif kind == "inlineStr" and "is" in inside:
+                    value = _said(inside["is"])
+                elif kind == "b":
+                    value = "TRUE" if value == "1" else "FALSE"
+                if value != "":
+                    yield title, at_row, at_column, value
+
+
+def _files(spark: SparkSession, path: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """Files up to ``most`` bytes with their content, and the larger ones, whose content is not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("kind")
+    return files.where(F.col("length") <= most).select("path", kind, "content"), files.where(F.col("length") > most).select("path", kind)
+
+
+def _rows(path: str, kind: str, content: bytes, fallback: str) -> tuple[str | None, str | None]:
+    """The markup or text of a file, or why there is none."""
+    try:
+        if kind in PACKED:
+            with zipfile.ZipFile(io.BytesIO(content)) as packed:
+                if kind == "docx":
+                    return _part(packed, "word/document.xml").decode("utf-8", "replace"), None
+                lines: dict[tuple[str, int], list[str]] = {}
+                for sheet, row, _, value in workbook_cells(packed):
+                    lines.setdefault((sheet, row), []).append(value)
+                return "\n".join("\t".join(v) for v in lines.values()), None
+        if looks_binary(content):
+            return None, "binary"
+        return decoded(content, fallback), None
+    except BROKEN as e:
+        return None, f"{type(e).__name__}: {e}"
+
+
+def read(spark: SparkSession, path: str, fallback: str = "windows-1251", most: int = MOST) -> DataFrame:
+    """(path, kind, text, error) of the files of a folder, one row each; a file that cannot be read has an error, not the job.
+
+    Word-processor files give their paragraphs, workbooks a line a row with cells a tab apart, drawings (svg) their texts, others
+    their text as :func:`decoded`. Archives that are broken, encrypted or packed by a method that is not
+    here, parts and files beyond their bound, and binary files have an error. Empty files have no row: the file source passes over them.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    files, large = _files(spark, path, most)
 
-    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, kind, content in zip(*(batch.column(c).to_pylist() for c in ("path", "kind", "content"))):
-                text, error = None, None
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as packed:
-                        names = [n for n in sorted(packed.namelist()) if n.startswith(PARTS[kind]) and n.endswith(".xml")]
-                        if any(packed.getinfo(n).file_size > PART for n in names):
-                            raise ValueError("a part is too large")
-                        text = "\n".join(packed.read(n).decode("utf-8", "replace") for n in names)
-                except (zipfile.BadZipFile, ValueError) as e:
-                    error = str(e)
+                text, error = _rows(path, kind, content, fallback)
                 yield pa.RecordBatch.from_pydict({"path": [path], "kind": [kind], "text": pa.array([text], pa.string()), "error": pa.array([error], pa.string())})
 
-    files = files.withColumn("kind", kind)
-    packed = files.where(F.col("kind").isin(*PARTS)).select("path", "kind", "content").mapInArrow(unpacked, READ).withColumn("text", strip_markup(F.col("text")))
-    head = F.decode(F.substring("content", 1, HEAD), "ISO-8859-1")
-    plain = files.where(~F.col("kind").isin(*PARTS))
-    text = F.when(~is_binary(head), F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", ""))
-    plain = plain.select("path", "kind", text.alias("text"), F.when(is_binary(head), "binary").alias("error"))
-    return packed.unionByName(plain)
+    found = files.mapInArrow(texts, READ)
+    marked = F.col("kind").isin("docx", "svg")
+    found = found.withColumn("text", F.when(marked, strip_markup(F.col("text"))).otherwise(F.col("text")))
+    return found.unionByName(large.select("path", "kind", F.lit(None).cast("string").alias("text"), F.lit(f"larger than {most} bytes").alias("error")))
+
+
+def cells(spark: SparkSession, path: str, most: int = MOST) -> DataFrame:
+    """(path, sheet, row, column, value) of the filled cells of the workbooks of a folder; unreadable ones give none (see :func:`read`)."""
+    files, _ = _files(spark, path, most)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as packed:
+                        rows = list(workbook_cells(packed))
+                except BROKEN:
+                    continue
+                columns = list(zip(*rows)) or [(), (), (), ()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([path] * len(rows), pa.string()), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.string())],
+                    ["path", "sheet", "row", "column", "value"],
+                )
+
+    return files.where(F.col("kind") == "xlsx").mapInArrow(found, CELLS)
 
 
 def requirements(text: Column) -> Column:
