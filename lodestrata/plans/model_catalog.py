@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import cleaning, clipping, documents, frames, linking, normals, octree, revisions, surfaces
 from ..operators.indexing import order_statistics
 from ..session import cut, scratch
+from ..sources import text_clouds
 from .fixtures import view
 from .spatial_catalog import CELL, RADIUS, _at, _deviation, _reach, _vectors
 
@@ -121,6 +122,33 @@ def prune_sphere(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clipping.prune(points.crossJoin(F.broadcast(centre)), [F.col(f"c{a}") for a in "xyz"], F.lit(10.0)).select("point_idx")  # one row
 
 
+# Files of text clouds ---------------------------------------------------------------------------------------------------
+@query("SELECT x, y, z, CAST(classification AS SMALLINT) AS classification, CAST(least(greatest(intensity_raw, 0), 1) AS FLOAT) AS intensity FROM {points}")
+def text_cloud_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points written as lists with their columns named in another order, a folder a scan, and read back in ranges."""
+    path = scratch(spark, "lists")
+    line = F.concat_ws(" ", *(F.col(c).cast("string") for c in ("classification", "y", "x", "z", "intensity_raw")))
+    rows = view(spark, sf_dir, "points").select("scan_id", "point_idx", line.alias("value"))
+    heads = rows.select("scan_id").distinct().select("scan_id", F.lit(-1).cast("long").alias("point_idx"), F.lit("# columns=class,northing,easting,height,intensity").alias("value"))
+    rows = rows.unionByName(heads).repartition("scan_id").sortWithinPartitions("scan_id", "point_idx")
+    rows.select("scan_id", "value").write.partitionBy("scan_id").option("compression", "none").text(path)
+    return text_clouds.read_lists(spark, path, names=r"/part-[^/]*$").select("x", "y", "z", "classification", "intensity")
+
+
+@query("SELECT x + 10 AS x, y + 20 AS y, z + 30 AS z, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY point_idx) - 1 AS BIGINT) AS point_idx FROM {points}")
+def grid_cloud_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points written as a grid file a scan, behind its head and matrix, and read back in ranges with their numbers."""
+    path = scratch(spark, "grids")
+    points = view(spark, sf_dir, "points")
+    body = points.select("scan_id", "point_idx", F.concat_ws(" ", "x", "y", "z", F.lit("0.5")).alias("value"))
+    head = F.array(F.col("n").cast("string"), *map(F.lit, ("1", "0 0 0", "1 0 0", "0 1 0", "0 0 1", "1 0 0 0", "0 1 0 0", "0 0 1 0", "10 20 30 1")))
+    heads = points.groupBy("scan_id").agg(F.count("*").alias("n")).select("scan_id", F.posexplode(head).alias("at", "value"))
+    heads = heads.select("scan_id", (F.col("at").cast("long") - 10).alias("point_idx"), "value")
+    rows = heads.unionByName(body).repartition("scan_id").sortWithinPartitions("scan_id", "point_idx")
+    rows.select("scan_id", "value").write.partitionBy("scan_id").text(path)
+    return text_clouds.read_grids(spark, path, names=r"/part-[^/]*$").select("x", "y", "z", "point_idx")
+
+
 # Surfaces -------------------------------------------------------------------------------------------------------------
 _GRID = "g AS (SELECT CAST(floor(x) AS BIGINT) AS i, CAST(floor(y) AS BIGINT) AS j, max(z) AS z FROM {points} GROUP BY ALL)"
 _SIDES = [("i", "j", "z0", "i + 1", "j", "z1"), ("i + 1", "j", "z1", "i + 1", "j + 1", "z2"), ("i + 1", "j + 1", "z2", "i", "j + 1", "z3"), ("i", "j + 1", "z3", "i", "j", "z0")]
@@ -368,6 +396,17 @@ def numeric_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "docs").select("doc_id", documents.entities(raw).alias("decoded"))
 
 
+@query("SELECT CAST(page_id % 7 AS INTEGER) AS part, 'txt' AS kind, CAST(sum(length(html) + 1) AS BIGINT) AS chars, count(*) AS pages FROM {html_docs} WHERE html IS NOT NULL GROUP BY 1")
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as text files in folders, read back as documents: characters of each folder."""
+    path = scratch(spark, "documents")
+    pages = view(spark, sf_dir, "html_docs").where("html is not null").select((F.col("page_id") % 7).cast("int").alias("part"), F.col("html").alias("value"))
+    pages.repartition("part").write.partitionBy("part").text(path)
+    found = documents.read(spark, path).withColumn("part", F.regexp_extract("path", "/part=([0-9]+)/", 1).cast("int"))
+    written = pages.groupBy("part").agg(F.count("*").alias("pages"))
+    return found.groupBy("part", "kind").agg(F.sum(F.length("text")).alias("chars")).join(written, "part").select("part", "kind", "chars", "pages")
+
+
 _SAID = "concat('opening ', doc_id % 90 + 10, 'x', doc_id % 70, ',5 x 3 mm, class EI ', 30 + doc_id % 3 * 30, ' pipe DN', doc_id % 200, ' and 7*8')"
 
 
