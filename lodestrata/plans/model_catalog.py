@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import cleaning, clipping, documents, frames, linking, normals, octree, revisions, surfaces
 from ..operators.indexing import order_statistics
 from ..session import cut, scratch
-from ..sources import text_clouds
+from ..sources import sinks, text_clouds
 from .fixtures import view
 from .spatial_catalog import CELL, RADIUS, _at, _deviation, _reach, _vectors
 
@@ -480,3 +480,15 @@ def revision_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = cut(revisions.replay(journal.where(F.col("event_id") <= middle)))
     held = revisions.state(first)
     return first.unionByName(revisions.replay(journal.where(F.col("event_id") > middle), *held))
+
+
+@query(
+    "SELECT element_id, CASE WHEN element_id % 5 = 0 THEN 'X' ELSE status END AS status, 2 AS version, 'change' AS operation FROM {elements} WHERE element_id % 3 > 0 OR element_id % 5 = 0"
+)
+def checked_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements saved as a table of versions, some changed and some added by a writer that names the version it read."""
+    path, elements = scratch(spark, "elements"), view(spark, sf_dir, "elements").select("element_id", "status")
+    first = sinks.upsert(elements.where("element_id % 3 > 0"), path, ["element_id"], "create", expected=0)
+    sinks.upsert(elements.where("element_id % 5 = 0").withColumn("status", F.lit("X")), path, ["element_id"], "change", expected=first)
+    newest = sinks.journal(spark, path).orderBy(F.desc("version")).limit(1).select("version", "operation")
+    return sinks.latest(spark, path).crossJoin(F.broadcast(newest)).select("element_id", "status", "version", "operation")  # one row
