@@ -310,19 +310,26 @@ TEXT_NAMES = {
     "b": ("blue", "b"),
     "classification": ("classification", "class", "label", "semantic"),
 }
+_XYZ, _RGB = ["x", "y", "z"], ["r", "g", "b"]
 #: What files without names hold, in order, by extension and number of columns; the last entry is for more.
 TEXT_LAYOUTS = {
-    ".xyzrgb": {3: "xyz", 6: "xyzrgb", 7: "xyzrgbc"},
-    ".pts": {3: "xyz", 4: "xyzi", 7: "xyzirgb", 8: "xyzirgbc"},
-    "": {3: "xyz", 4: "xyzi", 5: "xyzic", 6: "xyzrgb", 7: "xyzirgb", 8: "xyzirgbc"},
+    ".xyzrgb": {3: _XYZ, 6: _XYZ + _RGB, 7: [*_XYZ, *_RGB, "classification"]},
+    ".pts": {3: _XYZ, 4: [*_XYZ, "intensity"], 7: [*_XYZ, "intensity", *_RGB], 8: [*_XYZ, "intensity", *_RGB, "classification"]},
+    "": {
+        3: _XYZ,
+        4: [*_XYZ, "intensity"],
+        5: [*_XYZ, "intensity", "classification"],
+        6: _XYZ + _RGB,
+        7: [*_XYZ, "intensity", *_RGB],
+        8: [*_XYZ, "intensity", *_RGB, "classification"],
+    },
 }
 
 
 def text_layout(path: str, n: int) -> list[str]:
     """Columns of a file without names, by its extension and number of columns."""
     layouts = TEXT_LAYOUTS.get(extension(path), TEXT_LAYOUTS[""])
-    letters = layouts[max((k for k in layouts if k <= n), default=3)]
-    return [{"i": "intensity", "c": "classification"}.get(c, c) for c in letters]
+    return layouts[max((k for k in layouts if k <= n), default=3)]
 
 
 def named_layout(tokens: list[str]) -> list[str]:

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.operators import cleaning, clipping, normals, revisions, surfaces
+from lodestrata.operators import cleaning, clipping, frames, normals, revisions, surfaces
 
 
 # Loops ----------------------------------------------------------------------------------------------------------------
@@ -191,3 +191,22 @@ def test_replay_is_that_of_a_stack_from_any_prefix(spark):
         held = revisions.state(part, *held)
     assert got == want
     assert revisions.replay(df.limit(0)).count() == 0
+
+
+# Comments ---------------------------------------------------------------------------------------------------------------
+def test_what_comments_set(spark):
+    rows = [
+        (["vendor_crs_wkt_uri = A%2BB+C%20", "crs = EPSG: 25832"], "A+B+C", None, None),
+        (["made by hand", "CRS_WKT PROJCS[x = 1]"], "PROJCS[x = 1]", None, None),
+        (["crs_wkt=", "crs=EPSG: 4326 ", "units = m"], "EPSG:4326", "m", None),
+        (["crs = 4326", "crs: EPSG:4326", "vendor_Units=  mm ", "up : z"], None, "mm", "z"),
+        (["crs_wkt_uri = %zz"], "%zz", None, None),
+        (["scanned on safari", "UP = Y"], None, None, "y"),
+        (["scanned on safari"], None, None, "z"),
+        (["the z-up frame"], None, None, "z"),
+        (["up=yes", "setup=y"], None, None, None),
+        ([], None, None, None),
+    ]
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "id long, c array<string>")
+    got = df.select("id", frames.comment_crs(F.col("c")), frames.comment_units(F.col("c")), frames.comment_up(F.col("c"))).orderBy("id").collect()
+    assert [tuple(r)[1:] for r in got] == [r[1:] for r in rows]
