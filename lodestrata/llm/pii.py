@@ -10,8 +10,10 @@ Boosted trees of depth two tell candidates that meet a base span of their kind f
 can have, the plus, the plain at sign or dot and a card's separators, is not among the features; so the trees cannot repeat the base pattern.
 Base spans are a labelled part of what is sought, and the others are unlabelled, not negative: a candidate's score is
 compared with the mean score of base spans (their label frequency), not with one half. So veiled forms are found
-also where they are more common than plain ones. That mean comes from texts the trees have not been fitted to; a kind
-with fewer than ``LEAST`` base spans to fit to adds nothing. Selected candidates that meet no base span of any kind are
+also where they are more common than plain ones. That mean comes from texts the trees have not been fitted to. A table
+may have few base spans or none, so a second set of trees is fitted to ``PRIOR`` texts a kind, made by rule. A candidate's
+margins over both thresholds are averaged, the table's own with weight n / (n + ``PRIOR_WEIGHT``) for n base spans
+in the smaller fold: there is no count at which a kind begins to add. Selected candidates that meet no base span of any kind are
 added; of those that overlap, that of the earlier generator stays. The trees' leaves are one SQL expression.
 
 Training sees every candidate of the corpus, as counts of distinct feature vectors. These are few, as all features are
@@ -62,9 +64,11 @@ CUES = (
     r"(?i)card|visa|karte|tarjeta|carte|account|konto",
     r"(?i)tel|phone|call|fax|mobil|ruf|llam|appel",
 )
-#: Share of the base spans' mean score that a candidate needs, and base spans that a kind needs to be fitted.
+#: Share of the base spans' mean score that a candidate needs.
 SHARE = 0.5
-LEAST = 20
+#: Texts of each kind for the trees that no table decides, and how many of a table's base spans outweigh these.
+PRIOR = 120
+PRIOR_WEIGHT = 20
 VECTORS = 20_000
 ROUNDS = 24
 RATE = 0.4
@@ -252,6 +256,47 @@ def proposed(docs: DataFrame, keep: list[str]) -> DataFrame:
     return rows.withColumn("candidates", candidates(F.col("__text"), [F.col(f"b{k}") for k in range(4)]))
 
 
+def _checked(digits: str) -> str:
+    """The digits with the one that makes them pass Luhn's check."""
+    total = sum(x if i % 2 else x * 2 - 9 * (x > 4) for i, x in enumerate(map(int, reversed(digits))))
+    return digits + str(-total % 10)
+
+
+def prior(spark: SparkSession, n: int = PRIOR) -> DataFrame:
+    """Candidates of ``n`` texts a kind with a base span and as many with a number that is none, as :func:`proposed` gives them.
+
+    Numbers come from a fixed sequence; the words around them are the same for spans and for others.
+    """
+    around = (("the words ", " and on"), ("", "."), ("see ", ", then"), ("(", ")"), ("line ", ""), ("so: ", " or"))
+    state, texts = 1, []
+
+    def digits(count: int) -> str:
+        nonlocal state
+        out = ""
+        for _ in range(count):
+            state = (state * 1103515245 + 12345) % 2**31
+            out += str(state // 65536 % 10)
+        return out
+
+    for i in range(n):
+        left, right = around[i % len(around)]
+        card = _checked("4" + digits(14))
+        own = (
+            f"{'abcdefgh'[i % 8]}{digits(2)}@{('mail', 'post', 'web')[i % 3]}{digits(1)}.example.com",
+            ".".join(str(int(digits(3)) % 256) for _ in range(4)),
+            card if i % 2 else " ".join(card[k : k + 4] for k in range(0, 16, 4)),
+            f"+{1 + i % 9} ({2 + i % 8}{digits(2)}) 555-{digits(4)}",
+        )
+        other = (
+            (f"{'abcdefgh'[i % 8]}{digits(2)} at {digits(2)}", "in at and. The")[i % 2],
+            ".".join(digits(1) for _ in range(3 + i % 2 * 3)),
+            ("4" + digits(15), "-".join(digits(4) for _ in range(4)))[i % 2],
+            (f"{1 + i % 9}{digits(9)}", "-".join(digits(4) for _ in range(4)), f"ab{1 + i % 9}{digits(9)}cd", f"{digits(4)}-{digits(2)}-{digits(2)} {digits(4)}")[i % 4],
+        )
+        texts += [(left + x + right,) for x in (*own, *other)]
+    return proposed(spark.createDataFrame(texts, "text string"), []).select("fold", "candidates")
+
+
 Tree = tuple  # (feature, limit, below, above), where below and above are (feature, limit, low leaf, high leaf) or a leaf
 
 
@@ -311,29 +356,42 @@ def _expression(tree, feature: Callable[[int], Column]) -> Column:
     return F.when(feature(tree[0]) <= tree[1], _expression(tree[2], feature)).otherwise(_expression(tree[3], feature))
 
 
+Part = tuple[float, float, list[Tree], float]  # weight, prior log-odds, trees, threshold in log-odds
+
+
 class Model:
-    """Trees and a threshold for each kind that has one, on the scale of log-odds."""
+    """For each kind the parts whose weighted margins decide."""
 
-    def __init__(self, kinds: dict[int, tuple[float, list[Tree], float]]) -> None:
+    def __init__(self, kinds: dict[int, list[Part]]) -> None:
         self.kinds = kinds
 
     @classmethod
     def fit(cls, found: DataFrame) -> Model:
-        """From the candidates of a table of :func:`proposed`."""
+        """From the candidates of a table of :func:`proposed`, and those of the prior texts."""
+        sources = (cls.vectors(found), cls.vectors(prior(found.sparkSession)))
+        kinds = {}
+        for k in range(len(KINDS)):
+            parts, rest = [], 1.0
+            for own, weight in zip(sources, (PRIOR_WEIGHT, 0)):
+                folds = [[r[2:] for r in own if r[:2] == (k, fold)] for fold in (0, 1)]
+                n = min(sum(pos for _, pos, _ in f) for f in folds)
+                if n:
+                    start, trees = boosted(folds[0])
+                    threshold = cls.calibrated([(start + sum(_leaf(t, x) for t in trees), pos) for x, pos, _ in folds[1]])
+                    parts.append((rest * n / (n + weight), start, trees, threshold))
+                    rest -= parts[-1][0]
+            kinds[k] = parts
+        return cls(kinds)
+
+    @staticmethod
+    def vectors(found: DataFrame) -> list[tuple]:
+        """(kind, fold, features, base spans, all) of the distinct feature vectors."""
         kind = F.element_at(F.array(*(F.lit(k) for k, _ in WIDE)), F.col("c.by") + 1)
         rows = found.select("fold", F.explode("candidates").alias("c")).where("c.base is not null")
         rows = rows.select(kind.alias("kind"), "fold", "c.base", *(f"c.{f}" for f in FEATURES))
         grouped = rows.groupBy("kind", "fold", *FEATURES).agg(F.sum(F.col("base").cast("long")).alias("pos"), F.count("*").alias("n"))
-        vectors = grouped.orderBy(F.desc("n"), "kind", "fold", *FEATURES).limit(VECTORS).collect()
-        kinds = {}
-        for k in range(len(KINDS)):
-            parts = [[(tuple(r[f] for f in FEATURES), float(r["pos"]), float(r["n"])) for r in vectors if r["kind"] == k and r["fold"] == fold] for fold in (0, 1)]
-            if sum(r[1] for r in parts[0]) >= LEAST:
-                start, trees = boosted(parts[0])
-                threshold = cls.calibrated([(start + sum(_leaf(t, x) for t in trees), pos) for x, pos, _ in parts[1]])
-                if threshold is not None:
-                    kinds[k] = start, trees, threshold
-        return cls(kinds)
+        top = grouped.orderBy(F.desc("n"), "kind", "fold", *FEATURES).limit(VECTORS).collect()
+        return [(r["kind"], r["fold"], tuple(r[f] for f in FEATURES), float(r["pos"]), float(r["n"])) for r in top]
 
     @staticmethod
     def calibrated(scored: list[tuple[float, float]]) -> float | None:
@@ -347,10 +405,13 @@ class Model:
     def selects(self, c: Column) -> Column:
         """Whether a candidate's score reaches its kind's threshold."""
         out = F.lit(False)
-        for kind, (start, trees, threshold) in self.kinds.items():
-            total = sum((_expression(t, lambda f: c[FEATURES[f]]) for t in trees), F.lit(float(start)))
+        for kind, parts in self.kinds.items():
+            margin = F.lit(0.0)
+            for weight, start, trees, threshold in parts:
+                total = sum((_expression(t, lambda f: c[FEATURES[f]]) for t in trees), F.lit(float(start)))
+                margin = margin + F.lit(float(weight)) * (total - threshold)
             own = c["by"].isin([by for by, (k, _) in enumerate(WIDE) if k == kind])
-            out = F.when(own, total >= threshold - 1e-9).otherwise(out)
+            out = F.when(own, margin >= -1e-9).otherwise(out)
         return out & (c["base"] == F.lit(False))
 
 
