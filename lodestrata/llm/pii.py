@@ -293,8 +293,9 @@ def prior(spark: SparkSession, n: int = PRIOR) -> DataFrame:
             ("4" + digits(15), "-".join(digits(4) for _ in range(4)))[i % 2],
             (f"{1 + i % 9}{digits(9)}", "-".join(digits(4) for _ in range(4)), f"ab{1 + i % 9}{digits(9)}cd", f"{digits(4)}-{digits(2)}-{digits(2)} {digits(4)}")[i % 4],
         )
-        texts += [(left + x + right,) for x in (*own, *other)]
-    return proposed(spark.createDataFrame(texts, "text string"), []).select("fold", "candidates")
+        texts += [left + x + right for x in (*own, *other)]
+    rows = spark.range(1).select(F.explode(F.split(F.lit("\n".join(texts)), "\n")).alias("text"))
+    return proposed(rows, []).select("fold", "candidates")
 
 
 Tree = tuple  # (feature, limit, below, above), where below and above are (feature, limit, low leaf, high leaf) or a leaf
