@@ -224,7 +224,7 @@ _PATCH = "i BETWEEN 40 AND 100 AND j BETWEEN 8 AND 40"
     "WITH RECURSIVE g AS (SELECT CAST(floor(x * 2) AS BIGINT) AS i, CAST(floor(y) AS BIGINT) AS j, count(*) % 256 AS r, CAST(sum(classification) % 256 AS BIGINT) AS g, max(scan_id) * 60 AS b FROM {points} GROUP BY 1, 2), "
     f"o AS (SELECT i, j FROM g WHERE {_PATCH}), k AS (SELECT * FROM g WHERE NOT ({_PATCH})), "
     "m AS (SELECT a.a, b.b FROM (VALUES (-1), (0), (1)) a(a), (VALUES (-1), (0), (1)) b(b)), "
-    "d(i, j, ring) AS (SELECT i, j, 0 FROM k UNION SELECT o.i, o.j, d.ring + 1 FROM d CROSS JOIN m JOIN o ON o.i = d.i + m.a AND o.j = d.j + m.b WHERE d.ring < 30), "
+    "d(i, j, ring) AS (SELECT i, j, 0 FROM k UNION SELECT o.i, o.j, d.ring + 1 FROM d CROSS JOIN m JOIN o ON o.i = d.i + m.a AND o.j = d.j + m.b WHERE d.ring < 200), "
     "h AS (SELECT i, j, min(ring) AS ring FROM d GROUP BY 1, 2), "
     "f AS (SELECT i, j, 0 AS ring, r::BIGINT AS r, g, b::BIGINT AS b FROM k UNION ALL SELECT h.i, h.j, h.ring, (2 * sum(f.r) + count(*)) // (2 * count(*)), (2 * sum(f.g) + count(*)) // (2 * count(*)), (2 * sum(f.b) + count(*)) // (2 * count(*)) "
     "FROM f CROSS JOIN m JOIN h ON h.ring = f.ring + 1 AND h.i = f.i + m.a AND h.j = f.j + m.b GROUP BY h.i, h.j, h.ring) SELECT i, j, ring, CAST(r AS BIGINT) AS r, CAST(g AS BIGINT) AS g, CAST(b AS BIGINT) AS b FROM f WHERE ring > 0"
