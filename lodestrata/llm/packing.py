@@ -92,8 +92,8 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_I
         part, seen = TaskContext.get().partitionId(), np.zeros(length + 1, np.int64)
         for batch, texts in each_text(batches, "text"):
             row, start, size, crc, total, place = [], [], [], [], [], []
-            for i, text in enumerate(texts):
-                ids = encode(text) + end
+            for i, ids in enumerate(encode(texts)):
+                ids += end
                 for at in range(0, len(ids), 4 * length):
                     piece = ids[at : at + 4 * length]
                     n = len(piece) // 4

@@ -1,74 +1,58 @@
-"""Token ids of whole texts by a public word-level BPE vocabulary, word by word.
+"""Token ids of whole texts by a public word-level BPE vocabulary, through the ``tokenizers`` library.
 
 The vocabulary normalises (NFC, white space to blanks, lower case), splits at white space and character classes and merges
-within each word, so a text's ids are those of its words, one after the other, and a word that recurs need not be
-merged again. Words are merged by a rank-based merger over bytes, where a word's end is one more byte that no
-UTF-8 text has: the vocabulary's end-of-word symbols are the merges with it and rank before all others.
+within each word, so a text's ids are those of its words, one after the other. The distinct words of a batch that are not
+known yet are encoded by the library in one call, and a word that recurs is looked up.
 
-Texts with characters for which this needs more than a table look-up (combining marks, letters outside Latin, control
-characters, special tokens) are encoded as a whole by the vocabulary's own library. Both ways give the same ids.
+Texts with characters for which this could differ (combining marks, letters outside Latin, control characters, special
+tokens) are given to the library as they are.
 """
 
 from __future__ import annotations
 
 import functools
-import json
+import os
 import re
+from collections.abc import Sequence
 
 import numpy as np
-import regex
-import tiktoken
 from tokenizers import Tokenizer
 
-#: Words whose ids a worker keeps.
-KEPT = 300_000
+#: Characters of the words that a worker keeps, and words or texts of one call of the library.
+KEPT = 4_000_000
+CALL = 4_000
 #: All characters of a text that is encoded word by word: printable ASCII and Latin letters that compose with nothing, and signs.
 PLAIN = re.compile("[^\\t\\n\\x0b\\x0c\\r\\x20-\\x7e\\u0085\\u00a0-\\u012f\\u0131-\\u024f\\u2010-\\u2027\\u2030-\\u205e\\u20a0-\\u20bf]")
-#: The vocabulary's own pattern of words, and the byte that stands for a word's end.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-END = b"\xff"
 
 
-def byte_symbols() -> dict[str, int]:
-    """The printable character that byte-level vocabularies write for each byte: itself, or the next one from 256 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-
-
-class Words(dict):
-    """Ids of words as little-endian 32-bit integers, filled on demand and bounded."""
+class Words:
+    """Ids of texts as little-endian unsigned 32-bit integers; those of words are kept up to a bound."""
 
     def __init__(self, path: str) -> None:
-        super().__init__()
-        self.whole = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
-        special = {t.content for t in self.whole.get_added_tokens_decoder().values()}
-        self.special = [s for s in special]
-        symbols = byte_symbols()
-        ranks: dict[bytes, int] = {}
-        for token, rank in vocabulary.items():
-            if token not in special:
-                body = token.removesuffix("</w>")
-                ranks[bytes(symbols[c] for c in body) + (END if body != token else b"")] = rank
-        self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.split = regex.compile(SPLIT).findall
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT:
-            self.clear()
-        ids: list[int] = []
-        for piece in (word,) if word.isalpha() else self.split(word):
-            ids += self.merge(piece.encode() + END)
-        found = self[word] = np.array(ids, "<u4").tobytes()
-        return found
-
-    def encode(self, text: str) -> bytes:
-        """The text's ids as little-endian unsigned 32-bit integers."""
-        if PLAIN.search(text) or any(s in text for s in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, text.lower().split()))
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker a core
+        self.library = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.known: dict[str, bytes] = {}
+        self.size = 0
+
+    def _ids(self, texts: Sequence[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set[str]) -> None:
+        new = list(words - self.known.keys())
+        for at in range(0, len(new), CALL):
+            part = new[at : at + CALL]
+            self.known.update(zip(part, self._ids(part)))
+            self.size += sum(map(len, part))
+
+    def encode(self, texts: Sequence[str]) -> list[bytes]:
+        """The ids of each text."""
+        if self.size > KEPT:
+            self.known.clear()
+            self.size = 0
+        split = [None if PLAIN.search(t) or any(s in t for s in self.special) else t.lower().split() for t in texts]
+        self._learn({w for words in split if words for w in words})
+        return [self._ids([t])[0] if words is None else b"".join(map(self.known.__getitem__, words)) for t, words in zip(texts, split)]
 
 
 @functools.lru_cache(maxsize=2)
