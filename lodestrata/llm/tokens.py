@@ -1,8 +1,8 @@
 """Token ids of whole texts by a public word-level BPE vocabulary, through the ``tokenizers`` library.
 
 The vocabulary normalises (NFC, white space to blanks, lower case), splits at white space and character classes and merges
-within each word, so a text's ids are those of its words, one after the other. The distinct words of a batch that are not
-known yet are encoded by the library in one call, and a word that recurs is looked up.
+within each piece, so a text's ids are those of its words, one after the other. A word that is not known yet goes through the
+library's own normaliser, splitter and model; one that recurs is looked up, and so is a piece of a word.
 
 Texts with characters for which this could differ (combining marks, letters outside Latin, control characters, special
 tokens) are given to the library as they are.
@@ -11,48 +11,53 @@ tokens) are given to the library as they are.
 from __future__ import annotations
 
 import functools
-import os
 import re
-from collections.abc import Sequence
+from array import array
 
-import numpy as np
 from tokenizers import Tokenizer
 
-#: Characters of the words that a worker keeps, and words or texts of one call of the library.
-KEPT = 4_000_000
-CALL = 4_000
+#: Characters of the words and pieces that a worker keeps.
+KEPT = 8_000_000
 #: All characters of a text that is encoded word by word: printable ASCII and Latin letters that compose with nothing, and signs.
 PLAIN = re.compile("[^\\t\\n\\x0b\\x0c\\r\\x20-\\x7e\\u0085\\u00a0-\\u012f\\u0131-\\u024f\\u2010-\\u2027\\u2030-\\u205e\\u20a0-\\u20bf]")
 
 
-class Words:
-    """Ids of texts as little-endian unsigned 32-bit integers; those of words are kept up to a bound."""
+class Words(dict):
+    """Ids of words as little-endian unsigned 32-bit integers, filled on demand and kept up to a bound."""
 
     def __init__(self, path: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker a core
+        super().__init__()
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.normal, self.split, self.merge = self.library.normalizer.normalize_str, self.library.pre_tokenizer.pre_tokenize_str, self.library.model.tokenize
+        self.pieces: dict[str, bytes] = {}  # by the symbols that the splitter writes for bytes
         self.size = 0
 
-    def _ids(self, texts: Sequence[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _piece(self, symbols: str) -> bytes:
+        found = self.pieces.get(symbols)
+        if found is None:
+            found = self.pieces[symbols] = array("I", [t.id for t in self.merge(symbols)]).tobytes()
+            self.size += len(symbols)
+        return found
 
-    def _learn(self, words: set[str]) -> None:
-        new = list(words - self.known.keys())
-        for at in range(0, len(new), CALL):
-            part = new[at : at + CALL]
-            self.known.update(zip(part, self._ids(part)))
-            self.size += sum(map(len, part))
-
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
-        """The ids of each text."""
+    def __missing__(self, word: str) -> bytes:
         if self.size > KEPT:
-            self.known.clear()
+            self.clear()
+            self.pieces.clear()
             self.size = 0
-        split = [None if PLAIN.search(t) or any(s in t for s in self.special) else t.lower().split() for t in texts]
-        self._learn({w for words in split if words for w in words})
-        return [self._ids([t])[0] if words is None else b"".join(map(self.known.__getitem__, words)) for t, words in zip(texts, split)]
+        if word.isascii() and word.isalpha():  # one piece, whose bytes stand for themselves
+            found = array("I", [t.id for t in self.merge(word)]).tobytes()
+        else:
+            found = b"".join([self._piece(symbols) for symbols, _ in self.split(word if word.isascii() else self.normal(word))])
+        self[word] = found
+        self.size += len(word)
+        return found
+
+    def encode(self, text: str) -> bytes:
+        """The text's ids."""
+        if PLAIN.search(text) or any(s in text for s in self.special):
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.__getitem__, text.lower().split()))
 
 
 @functools.lru_cache(maxsize=2)
