@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, clipping, documents, frames, linking, normals, octree, revisions, surfaces
+from ..operators import cleaning, clipping, documents, frames, linking, normals, octree, revisions, surfaces, walls
 from ..operators.indexing import order_statistics
 from ..session import cut, scratch
 from ..sources import sinks, text_clouds
@@ -492,3 +492,29 @@ def checked_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     sinks.upsert(elements.where("element_id % 5 = 0").withColumn("status", F.lit("X")), path, ["element_id"], "change", expected=first)
     newest = sinks.journal(spark, path).orderBy(F.desc("version")).limit(1).select("version", "operation")
     return sinks.latest(spark, path).crossJoin(F.broadcast(newest)).select("element_id", "status", "version", "operation")  # one row
+
+
+# Walls ----------------------------------------------------------------------------------------------------------------
+#: The faces of orders: level or upright lines, some of them tilted.
+_FACES = (
+    "SELECT element_id AS id, x0, y0, x0 + CASE WHEN level THEN l ELSE t END AS x1, y0 + CASE WHEN level THEN t ELSE l END AS y1 FROM (SELECT element_id, "
+    "room_id % 1000 / 10.0 AS x0, element_id % 977 / 10.0 AS y0, 1 + element_id % 7 / 2.0 AS l, (room_id % 3 - 1) * 0.013 AS t, status = 'O' AS level FROM {elements}) q"
+)
+
+
+@query(
+    "WITH f AS (SELECT id, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1 FROM (" + _FACES + ") r), "
+    "u AS (SELECT *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS l, atan2(y1 - y0, x1 - x0) AS d FROM f), "
+    # The other face's ends in the frame of the first, by its angle.
+    "p AS (SELECT a.id AS a, b.id AS b, a.l, (b.x0 - a.x0) * cos(a.d) + (b.y0 - a.y0) * sin(a.d) AS s0, (b.y0 - a.y0) * cos(a.d) - (b.x0 - a.x0) * sin(a.d) AS w0, "
+    "(b.x1 - a.x0) * cos(a.d) + (b.y1 - a.y0) * sin(a.d) AS s1, (b.y1 - a.y0) * cos(a.d) - (b.x1 - a.x0) * sin(a.d) AS w1 FROM u a JOIN u b ON a.id < b.id "
+    "AND b.x0 BETWEEN a.x0 - 10 AND a.x0 + 10 AND b.y0 BETWEEN a.y0 - 10 AND a.y0 + 10 AND abs(sin(a.d - b.d)) <= tan(radians(5)) * abs(cos(a.d - b.d))), "
+    "o AS (SELECT *, greatest(0, least(s0, s1)) AS lo, least(l, greatest(s0, s1)) AS hi FROM p), "
+    "g AS (SELECT a, b, hi - lo AS length, w0 + (w1 - w0) * (lo - s0) / (s1 - s0) AS wl, w0 + (w1 - w0) * (hi - s0) / (s1 - s0) AS wh FROM o WHERE hi - lo >= 0.777), "
+    "k AS (SELECT a, b, length, round(abs(wl + wh) / 2, 9) AS thickness FROM g WHERE wl * wh > 0 AND least(abs(wl), abs(wh)) >= 0.037 AND greatest(abs(wl), abs(wh)) <= 0.337), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY face ORDER BY thickness, other) AS n FROM (SELECT *, a AS face, b AS other FROM k UNION ALL SELECT *, b, a FROM k) v) "
+    "SELECT a, b, round(min(thickness), 6) AS thickness, round(min(length), 6) AS length FROM r WHERE n = 1 GROUP BY a, b HAVING count(*) = 2"
+)
+def wall_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faces = spark.sql(_FACES, elements=view(spark, sf_dir, "elements"))
+    return walls.walls(faces, 0.037, 0.337, 0.777).select("a", "b", F.round("thickness", 6).alias("thickness"), F.round("length", 6).alias("length"))
