@@ -498,7 +498,7 @@ def checked_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The faces of orders: level or upright lines, some of them tilted.
 _FACES = (
     "SELECT element_id AS id, x0, y0, x0 + CASE WHEN level THEN l ELSE t END AS x1, y0 + CASE WHEN level THEN t ELSE l END AS y1 FROM (SELECT element_id, "
-    "room_id % 1000 / 10.0 AS x0, element_id % 977 / 10.0 AS y0, 1 + element_id % 7 / 2.0 AS l, (room_id % 3 - 1) * 0.013 AS t, status = 'O' AS level FROM {elements}) q"
+    "room_id % 1000 / 10.0 AS x0, element_id / 10.0 AS y0, 1 + element_id % 7 / 2.0 AS l, (room_id % 3 - 1) * 0.013 AS t, status = 'O' AS level FROM {elements}) q"
 )
 
 
