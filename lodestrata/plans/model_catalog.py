@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import cleaning, clipping, documents, frames, linking, normals, octree, revisions, surfaces, walls
 from ..operators.indexing import order_statistics
 from ..session import cut, scratch
-from ..sources import sinks, text_clouds
+from ..sources import exports, sinks, text_clouds
 from .fixtures import view
 from .spatial_catalog import CELL, RADIUS, _at, _deviation, _reach, _vectors
 
@@ -168,6 +168,24 @@ def contour_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surfaces.contours(surfaces.height_grid(view(spark, sf_dir, "points"), 1.0), 0.5, 1.0)
 
 
+@query("SELECT i, j, (i + 0.5::DOUBLE) * 0.5 AS x, (j + 0.5::DOUBLE) * 0.5 AS y, CAST(CAST(max(z) AS FLOAT) AS DOUBLE) AS z FROM (SELECT CAST(floor(x / 0.5) AS BIGINT) AS i, CAST(floor(y / 0.5) AS BIGINT) AS j, z FROM {points}) GROUP BY i, j")
+def raster_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The height grid written as GeoTIFF sheets of 128 by 128 cells, and read back."""
+    path = scratch(spark, "rasters")
+    exports.write_raster(surfaces.height_grid(view(spark, sf_dir, "points"), 0.5), path, 0.5, side=128)
+    return spark.read.format("geotiff").load(path).select("i", "j", "x", "y", "z")
+
+
+@query("SELECT concat('level_', CAST(level * 2 AS BIGINT)) AS layer, x0, y0, level AS z0, x1, y1, level AS z1 FROM (" + ORACLES["contour_lines"] + ")")
+def drawing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level lines written as DXF drawings, a layer a level, and read back."""
+    path = scratch(spark, "drawings")
+    lines = surfaces.contours(surfaces.height_grid(view(spark, sf_dir, "points"), 1.0), 0.5, 1.0)
+    layer = F.concat(F.lit("level "), (F.col("level") * 2).cast("long"))
+    exports.write_drawing(lines.select(layer.alias("layer"), "x0", "y0", F.col("level").alias("z0"), "x1", "y1", F.col("level").alias("z1")), path)
+    return spark.read.format("dxf").load(path).drop("drawing")
+
+
 _EDGE = "CASE WHEN (z{0} < 5) <> (z{1} < 5) THEN [x{0} + (x{1} - x{0}) * ((5 - z{0}) / (z{1} - z{0})), y{0} + (y{1} - y{0}) * ((5 - z{0}) / (z{1} - z{0}))] END"
 
 
