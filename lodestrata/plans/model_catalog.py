@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, clipping, documents, frames, linking, normals, octree, revisions, surfaces, walls
+from ..operators import cleaning, clipping, documents, frames, linking, normals, octree, revisions, stages, surfaces, walls
 from ..operators.indexing import order_statistics
 from ..session import cut, scratch
 from ..sources import exports, sinks, text_clouds
@@ -318,6 +318,23 @@ def deviation_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row.select(*(F.round(c, 9).alias(c) for c in row.columns))
 
 
+@query(
+    "SELECT point_idx AS id, 3 - y AS x, x AS y, z + 0.5 AS z, greatest(0, least(1, 1.5 - abs(4 * t - 3))) AS r, greatest(0, least(1, 1.5 - abs(4 * t - 2))) AS g, greatest(0, least(1, 1.5 - abs(4 * t - 1))) AS b "
+    "FROM (SELECT *, greatest(0, least(1, (z + 0.5 - 2) / 5)) AS t FROM {points}) WHERE z BETWEEN 1 AND 8 AND classification IN (1, 2, 3) AND NOT x BETWEEN 20 AND 30"
+)
+def stage_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pipeline from its specification in JSON."""
+    spec = """[
+        {"type": "range", "column": "z", "low": 1, "high": 8},
+        {"type": "classes", "keep": [1, 2, 3]},
+        {"type": "range", "column": "x", "low": 20, "high": 30, "outside": true},
+        {"type": "transform", "matrix": [0, -1, 0, 3, 1, 0, 0, 0, 0, 0, 1, 0.5, 0, 0, 0, 1]},
+        {"type": "ramp", "column": "z", "low": 2, "high": 7},
+        {"type": "select", "columns": ["id", "x", "y", "z", "r", "g", "b"]}
+    ]"""
+    return stages.run(spark, spec, view(spark, sf_dir, "points").withColumnRenamed("point_idx", "id"))
+
+
 # Octree ---------------------------------------------------------------------------------------------------------------
 _DEPTH = 4
 _DIGITS = ", ".join(f"CAST((CAST(floor((x - x0) / (s / {1 << k})) AS BIGINT) % 2 + 2 * (CAST(floor((y - y0) / (s / {1 << k})) AS BIGINT) % 2) + 4 * (CAST(floor((z - z0) / (s / {1 << k})) AS BIGINT) % 2)) AS VARCHAR)" for k in range(1, _DEPTH + 1))

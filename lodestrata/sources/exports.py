@@ -78,6 +78,7 @@ class FolderWriter(DataSourceArrowWriter):
         if not self.overwrite and before & shown:
             self.abort(messages)
             raise RasterError(f"{self.folder} holds {len(before & shown)} of these files already")
+        os.makedirs(self.folder, exist_ok=True)  # an empty table is an empty folder
         for hidden, name in made:
             os.replace(hidden, name)
         if self.overwrite:
@@ -177,7 +178,9 @@ class RasterReader(DataSourceReader):
             out += [Strips(path, at, min(at + per, strips)) for at in range(0, strips, per)]
         return out
 
-    def read(self, part: Strips) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Strips | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # an empty folder
+            return
         order, found = checked(part.path)
         width, height = found[WIDTH][0], found[LENGTH][0]
         rows = min(found.get(ROWS, (height,))[0], height)
@@ -306,7 +309,9 @@ class DrawingReader(DataSourceReader):
     def partitions(self) -> list[Drawing]:
         return [Drawing(p) for p in listed(self.path, (".dxf",))]
 
-    def read(self, part: Drawing) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Drawing | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # an empty folder
+            return
         name, rows = os.path.basename(part.path), []
         for row in drawn_lines(part.path):
             rows.append({"drawing": name, **row})

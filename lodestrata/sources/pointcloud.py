@@ -5,7 +5,8 @@ ranges of ``recordsPerPartition`` records by as many tasks; other files by one t
 window of so many, by the sampling hash (E57 and PTX: every so manieth), before rows leave the reader; ``maxPoints`` derives
 the stride of each file from its records, which the header states or, in text files, the task counts (raised to 200,000
 as the floor of a budget). Paths are read by ``open``, so they must be mounted on the executors. A text, PTX, PCD or E57 file
-is held whole by its task, so it must fit the task's memory.
+is held whole by its task, so it must fit the task's memory. Size and time of a file go with the plan: a file that has changed
+when a task begins or ends its part is :class:`SourceChanged`.
 
 ``df.write.format("pointcloud").option("form", "ply" | "las" | "xyz")`` writes one file per task into a folder.
 """
@@ -50,6 +51,22 @@ class Part(InputPartition):
     last: int | None
     stride: int
     budget: int | None = None
+    stamp: tuple[int, int] | None = None
+
+
+class SourceChanged(RuntimeError):
+    """A file is not the one that the read was planned from."""
+
+
+def stamp(path: str) -> tuple[int, int]:
+    """Size and time of a file."""
+    found = os.stat(path)
+    return found.st_size, found.st_mtime_ns
+
+
+def unchanged(part: Part) -> None:
+    if part.stamp is not None and stamp(part.path) != part.stamp:
+        raise SourceChanged(f"{part.path} changed while it was read")
 
 
 def stride_of(count: int, budget: int) -> int:
@@ -84,17 +101,19 @@ class CloudReader(DataSourceReader):
         for path in files(self.options["path"]):
             if formats.extension(path) not in READERS:
                 raise NotImplementedError(f"{path}: there is no decoder for this format here (LAZ needs one that is not installed)")
+            seen = stamp(path)
             count, own = formats.split_points(path), stride
             if budget and count is not None:
                 own = stride_of(count, int(budget))
             if count is None:
-                out.append(Part(path, 0, None, own, int(budget) if budget else None))
+                out.append(Part(path, 0, None, own, int(budget) if budget else None, seen))
             else:
-                out += [Part(path, at, min(at + per, count), own) for at in range(0, max(count, 1), per)]
+                out += [Part(path, at, min(at + per, count), own, None, seen) for at in range(0, max(count, 1), per)]
         return out
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         at, stride = partition.first, None
+        unchanged(partition)
         for columns in READERS[formats.extension(partition.path)](partition.path, partition.first, partition.last):
             n = len(columns["x"])
             index = columns.pop("__idx", np.arange(at, at + n))
@@ -119,6 +138,7 @@ class CloudReader(DataSourceReader):
                 else:
                     arrays.append(pa.nulls(len(index), field.type))
             yield pa.RecordBatch.from_arrays(arrays, schema=ARROW)
+        unchanged(partition)
 
 
 @dataclass
