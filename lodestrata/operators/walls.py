@@ -43,7 +43,8 @@ def facing(faces: DataFrame, thinnest: float, thickest: float, overlap: float, d
     for k in (0, 1):
         px, py = F.col(f"b_x{k}") - F.col("x0"), F.col(f"b_y{k}") - F.col("y0")
         at += [(px * F.col("ux") + py * F.col("uy")).alias(f"s{k}"), (py * F.col("ux") - px * F.col("uy")).alias(f"w{k}")]
-    near = asked.join(two, ["c0", "c1"]).where("a < b").select("a", "b", "x0", "y0", "ux", "uy", "length", *at)
+    # Merged: a plan takes exploded cells to be as small as the faces, and would send all of them through the driver.
+    near = asked.join(two.hint("merge"), ["c0", "c1"]).where("a < b").select("a", "b", "x0", "y0", "ux", "uy", "length", *at)
     parallel = F.abs(F.col("w1") - F.col("w0")) <= math.tan(math.radians(degrees)) * F.abs(F.col("s1") - F.col("s0"))
     lo, hi = F.greatest(F.lit(0.0), F.least("s0", "s1")), F.least(F.col("length"), F.greatest("s0", "s1"))
     pairs = near.where(parallel & (hi - lo >= overlap)).distinct()  # a pair meets in several cells

@@ -84,3 +84,10 @@ def test_odd_rows(spark):
     rows = [(1, 0.0, 0.0, 0.0, 0.0), (2, None, 0.0, 1.0, 0.0), (3, 0.0, 0.0, 3.0, 0.0), (4, 0.0, 0.0, 3.0, 0.0)]
     assert walls.walls(spark.createDataFrame(rows, SCHEMA), 0.05, 0.6, 0.5).count() == 0
     assert walls.walls(spark.createDataFrame([], SCHEMA), 0.05, 0.6, 0.5).count() == 0
+
+
+def test_no_faces_go_through_the_driver(spark):
+    faces = spark.createDataFrame([(i, float(i % 50), i / 40, i % 50 + 4.0, i / 40) for i in range(2000)], SCHEMA)
+    found = walls.walls(faces, 0.037, 0.337, 0.777)
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
