@@ -56,7 +56,8 @@ def replay(journal: DataFrame, cursors: DataFrame | None = None, branches: DataF
         start = cursors.select("project", F.col("place").alias("place0"), F.col("top").alias("top0"))
         rows = rows.join(start, "project", "left").fillna(0, ["place0", "top0"])
     rows = rows.withColumns({"place0": F.col("place0").cast("long"), "top0": F.col("top0").cast("long")})
-    folded = rows.repartition("project").sortWithinPartitions("project", "event_id").mapInArrow(_fold, FOLDED)
+    # By a hash of its own: dealt by the project itself, the join's partitions would be taken, and a skewed join may split a project.
+    folded = rows.repartition(F.xxhash64("project")).sortWithinPartitions("project", "event_id").mapInArrow(_fold, FOLDED)
     saved = F.when(F.col("operation") == SAVE, F.col("event_id"))
     here = Window.partitionBy("project", "place").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
     out = folded.withColumn("own", saved)

@@ -193,6 +193,24 @@ def test_replay_is_that_of_a_stack_from_any_prefix(spark):
     assert revisions.replay(df.limit(0)).count() == 0
 
 
+def test_a_project_that_a_skewed_join_splits_is_still_one_chain(spark):
+    odd = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k"}
+    before = {k: spark.conf.get(k, None) for k in odd}
+    project = F.when(F.col("event_id") % 20 == 0, F.col("event_id") % 7).otherwise(100)
+    operation = F.element_at(F.array(*map(F.lit, ("save", "save", "redo", "undo"))), (F.xxhash64("event_id") % 2 + F.col("event_id") % 2 + 2).cast("int"))
+    df = spark.range(0, 40_000, 1, 8).select(F.col("id").alias("event_id")).select(project.alias("project"), "event_id", operation.alias("operation"))
+    want = {tuple(r) for r in revisions.replay(df).collect()}
+    held = revisions.state(revisions.replay(df.where("event_id < 20000")))
+    try:
+        for k, v in odd.items():
+            spark.conf.set(k, v)
+        got = {tuple(r) for r in revisions.replay(df.where("event_id >= 20000"), *held).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == {r for r in want if r[1] >= 20000}
+
+
 # Comments ---------------------------------------------------------------------------------------------------------------
 def test_what_comments_set(spark):
     rows = [
