@@ -100,7 +100,8 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     ranges = folded.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("block", "ends"))).alias("all"))  # one row a range of the file
     begins = "aggregate(slice(all, 1, i), 0, (s, r) -> element_at(r.ends, s + 1))"
     begins = ranges.selectExpr("file", f"inline(transform(all, (r, i) -> struct(r.block AS block, {begins} AS begins)))")
-    placed = raw.join(begins, ["file", "block"]).repartition("file", "block").sortWithinPartitions("file", "block", "at")
+    # By a hash of its own: dealt by file and block, the join's partitions would be taken, and a skewed join may split a range.
+    placed = raw.join(begins, ["file", "block"]).repartition(F.xxhash64("file", "block")).sortWithinPartitions("file", "block", "at")
     pieces = placed.select("file", "block", "begins", "value").mapInArrow(_cut, PIECE)
     whole = pieces.where("ends and not open").select("file", "block", "seq", F.col("piece").alias("text"))
     # A record that crosses borders: its number is that of the first pieces up to here.

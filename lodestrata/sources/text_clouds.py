@@ -61,7 +61,7 @@ def _layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("first"), pa.array(found, pa.list_(pa.string()))], ["file", "first", "layout"])
 
 
-def _scaled(rows: DataFrame, has: dict[str, Column], by_modulo: bool, budget: int | None, stride: int) -> DataFrame:
+def _scaled(rows: DataFrame, has: dict[str, Column], by_modulo: bool, budget: int | None, stride: int, with_file: bool = False) -> DataFrame:
     """Rows (file, no, scan_id, x, y, z, r, g, b, intensity, classification) scaled by what their file holds, sampled."""
     top = lambda c: F.coalesce(F.max(F.when(~F.isnan(c), F.col(c))), F.lit(0.0))
     tops = rows.groupBy("file").agg(F.greatest(top("r"), top("g"), top("b"), F.lit(0.0)).alias("colour"), F.greatest(top("intensity"), F.lit(0.0)).alias("most"), F.count("*").alias("total"))
@@ -78,7 +78,7 @@ def _scaled(rows: DataFrame, has: dict[str, Column], by_modulo: bool, budget: in
     chosen = F.col("no") % step == 0 if by_modulo else keeps(F.col("no"), step)
     out = rows.withColumn("step", step.cast("long")).where(good & ((F.col("step") <= 1) | chosen))
     return out.select(
-        F.element_at(F.split("file", "/"), -1).alias("cloud"), F.col("scan_id").cast("int").alias("scan_id"), F.col("no").alias("point_idx"), "x", "y", "z",
+        *(["file"] if with_file else []), F.element_at(F.split("file", "/"), -1).alias("cloud"), F.col("scan_id").cast("int").alias("scan_id"), F.col("no").alias("point_idx"), "x", "y", "z",
         *(F.when(has["rgb"], _clipped(F.col(c), by)).alias(c) for c in "rgb"),
         F.when(has["intensity"], _clipped(F.col("intensity"), F.when(F.col("most") > 1.0001, F.col("most")).otherwise(1.0))).alias("intensity"),
         F.when(has["classification"], F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.floor(label + 0.5).cast("double"))).cast("short")).alias("classification"),
@@ -140,8 +140,11 @@ def _scans(rows: DataFrame) -> DataFrame:
     return scans.drop("last")
 
 
-def read_grids(spark: SparkSession, path: str, budget: int | None = None, stride: int = 1, names: str = GRIDS) -> DataFrame:
-    """The returns of grid files in world coordinates; places without a return (0, 0, 0) have no number."""
+def read_grids(spark: SparkSession, path: str, budget: int | None = None, stride: int = 1, names: str = GRIDS, with_file: bool = False) -> DataFrame:
+    """The returns of grid files in world coordinates; places without a return (0, 0, 0) have no number.
+
+    ``with_file`` adds the path of the file.
+    """
     rows = lines(spark, path, names).withColumn("tokens", F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+"))
     rows = cut(numbered(rows.where("tokens[0] <> ''").select("file", "block", "at", "tokens")).drop("at"))
     scans = _scans(rows)
@@ -169,4 +172,4 @@ def read_grids(spark: SparkSession, path: str, budget: int | None = None, stride
     points = numbered(points.drop("torn")).withColumn("classification", F.lit(NAN))
     coloured = points.groupBy("file").agg((F.count_if(F.isnan("r")) == 0).alias("coloured"))
     yes = F.lit(True)
-    return _scaled(points.join(coloured, "file"), {"rgb": F.col("coloured"), "intensity": yes, "classification": F.lit(False)}, True, budget, stride)
+    return _scaled(points.join(coloured, "file"), {"rgb": F.col("coloured"), "intensity": yes, "classification": F.lit(False)}, True, budget, stride, with_file)
