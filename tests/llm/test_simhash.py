@@ -156,3 +156,74 @@ def test_forest_of_a_tile_against_sets():
             if len(set(sets[i]) & set(sets[j])) >= 0.5 * len(set(sets[i]) | set(sets[j])):
                 b.join(i, j)
     assert [a.find(i) for i in range(80)] == [b.find(i) for i in range(80)]
+
+
+def wide_print(hashes):
+    """A fingerprint's words, bit by bit."""
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & (1 << 64) - 1
+        return x ^ x >> 31
+
+    sets = [hashes] + [[mixed(h ^ mixed(k)) for h in hashes] for k in (1, 2, 3)]
+    return [sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in s) > len(s)) for s in sets]
+
+
+def test_wide_fingerprints_bit_by_bit(monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    for n in (0, 1, 4, 5, 100):
+        h = np.random.default_rng(n).integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
+        assert simhash.wide_fingerprint(h).tolist() == wide_print(h.tolist())
+        assert int(simhash.wide_fingerprint(h)[0]) == simhash.fingerprint(h)
+
+
+def test_the_stage_links_nothing_that_its_fingerprints_keep_apart(make_docs, monkeypatch):
+    """Fingerprints by the row's id in place of those by text: only exact copies go."""
+    w = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(w)), (1, " ".join(w[:-1] + ["other"])), (2, " ".join(w)), (3, " ".join(w[1:]))]
+    assert [r.doc_id for r in simhash.deduplicate(make_docs(rows)).collect()] == [0]
+    real = simhash.sketches
+
+    def apart(df):
+        words = [f"xxhash64(digest, {k}) as f{k}" for k in range(4)]
+        return real(df).selectExpr("uid", "doc_id", "digest", "n", *words)
+
+    monkeypatch.setattr(simhash, "sketches", apart)
+    assert sorted(r.doc_id for r in simhash.deduplicate(make_docs(rows)).collect()) == [0, 1, 3]
+
+
+def test_chains_of_a_bucket_against_all_pairs(monkeypatch):
+    monkeypatch.setattr(simhash, "LEFT", 8)
+    monkeypatch.setattr(simhash, "RIGHT", 16)
+    rng = np.random.default_rng(21)
+    base = rng.integers(0, 1 << 63, (20, 4)).astype(np.uint64)
+    bits = np.unpackbits(base[rng.integers(0, 20, 150)].view(np.uint8), axis=1)
+    bits ^= rng.random(bits.shape) < rng.choice([0.05, 0.15, 0.2], 150)[:, None]
+    fps, sizes = np.packbits(bits, axis=1).view(np.uint64), np.sort(rng.integers(1, 40, 150))
+    fps[-1] = ~fps[-2]  # 256 bits apart
+    bits = np.unpackbits(fps.view(np.uint8), axis=1)
+    far = (bits[:, None] ^ bits[None]).sum(axis=2, dtype=int)
+    a, b = simhash.Forest(150), simhash.Forest(150)
+    for i, j, x in simhash.chains(fps, sizes, 0.8):
+        assert i < j and x == far[i, j] <= (78 if sizes[i] < 5 else 70) and sizes[i] >= 0.8 * sizes[j] - 1e-9 and a.join(int(i), int(j))
+    for i in range(150):
+        for j in range(i + 1, 150):
+            if far[i, j] <= (78 if sizes[i] < 5 else 70) and sizes[i] >= 0.8 * sizes[j] - 1e-9:
+                b.join(i, j)
+    assert [a.find(i) for i in range(150)] == [b.find(i) for i in range(150)]
+
+
+@pytest.mark.parametrize("crowd", [simhash.CROWD, 1])
+def test_short_texts_and_edits_meet_also_in_bands_of_more_bits_and_parts(make_docs, monkeypatch, crowd):
+    """Sets of four shingles in sets of five, and texts of 120 words with one edit."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "WIDE_PART", simhash.WIDE_PART if crowd > 1 else 2)
+    rnd = random.Random(22)
+    rows = []
+    for i in range(60):
+        w = [f"v{rnd.randint(0, 9999)}" for _ in range(9 if i % 2 else 120)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:-1] if i % 2 else w[:60] + ["edited"] + w[61:]))]
+    kept = sorted(r.doc_id for r in simhash.deduplicate(make_docs(rows)).collect())
+    assert kept == [2 * i for i in range(60)]
+    assert simhash.bands(120).shape[1] == (simhash.ROWS if crowd > 1 else 7)
