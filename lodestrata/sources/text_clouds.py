@@ -27,11 +27,15 @@ LEAST_BUDGET = 200_000
 NAN = float("nan")
 
 
+def _read(spark: SparkSession, path: str, names: str) -> DataFrame:
+    """(file, block, value): lines with the range they are read in."""
+    raw = spark.read.option("recursiveFileLookup", "true").text(path).where(F.col("_metadata.file_path").rlike(names))
+    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+
 def lines(spark: SparkSession, path: str, names: str) -> DataFrame:
     """(file, block, at, value): lines with the range they are read in, in order of (block, at)."""
-    raw = spark.read.option("recursiveFileLookup", "true").text(path)
-    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
-    return raw.where(F.col("file").rlike(names))
+    return _read(spark, path, names).select("file", "block", F.monotonically_increasing_id().alias("at"), "value")
 
 
 def numbered(rows: DataFrame) -> DataFrame:
@@ -56,16 +60,19 @@ def _layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The columns of each file by the line that decides: its names, or the extension and number of columns."""
     for batch in batches:
         found = []
-        for file, named, tokens in zip(*(batch.column(c).to_pylist() for c in ("file", "named", "tokens"))):
-            found.append(formats.named_layout(tokens) if named else formats.text_layout(file, len(tokens)))
+        for file, words, n in zip(*(batch.column(c).to_pylist() for c in ("file", "words", "n"))):
+            found.append(formats.text_layout(file, n) if words is None else formats.named_layout(words))
         yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("first"), pa.array(found, pa.list_(pa.string()))], ["file", "first", "layout"])
 
 
-def _scaled(rows: DataFrame, has: dict[str, Column], by_modulo: bool, budget: int | None, stride: int, with_file: bool = False) -> DataFrame:
-    """Rows (file, no, scan_id, x, y, z, r, g, b, intensity, classification) scaled by what their file holds, sampled."""
+def _tops() -> list[Column]:
+    """The largest colour and intensity of a group of rows, 0 at least, and their number."""
     top = lambda c: F.coalesce(F.max(F.when(~F.isnan(c), F.col(c))), F.lit(0.0))
-    tops = rows.groupBy("file").agg(F.greatest(top("r"), top("g"), top("b"), F.lit(0.0)).alias("colour"), F.greatest(top("intensity"), F.lit(0.0)).alias("most"), F.count("*").alias("total"))
-    rows = rows.join(tops, "file")
+    return [F.greatest(top("r"), top("g"), top("b"), F.lit(0.0)).alias("colour"), F.greatest(top("intensity"), F.lit(0.0)).alias("most"), F.count("*").alias("total")]
+
+
+def _scaled(rows: DataFrame, has: dict[str, Column], by_modulo: bool, budget: int | None, stride: int, with_file: bool = False) -> DataFrame:
+    """Rows (file, no, scan_id, x, y, z, r, g, b, intensity, classification, colour, most, total) scaled by what their file holds, sampled."""
     by = F.when(F.col("colour") > 255, 65535.0).when(F.col("colour") > 1.0001, 255.0).otherwise(1.0)
     label = F.when(F.isnan("classification"), 0.0).otherwise(F.col("classification"))
     step = F.lit(stride)
@@ -75,8 +82,10 @@ def _scaled(rows: DataFrame, has: dict[str, Column], by_modulo: bool, budget: in
     good = F.lit(True)
     for a in "xyz":
         good &= ~F.isnan(a) & (F.abs(a) < float("inf"))
-    chosen = F.col("no") % step == 0 if by_modulo else keeps(F.col("no"), step)
-    out = rows.withColumn("step", step.cast("long")).where(good & ((F.col("step") <= 1) | chosen))
+    if budget or stride > 1:
+        chosen = F.col("no") % step == 0 if by_modulo else keeps(F.col("no"), step)
+        good &= (F.col("step") <= 1) | chosen
+    out = rows.withColumn("step", step.cast("long")).where(good)
     return out.select(
         *(["file"] if with_file else []), F.element_at(F.split("file", "/"), -1).alias("cloud"), F.col("scan_id").cast("int").alias("scan_id"), F.col("no").alias("point_idx"), "x", "y", "z",
         *(F.when(has["rgb"], _clipped(F.col(c), by)).alias(c) for c in "rgb"),
@@ -90,34 +99,50 @@ def read_lists(spark: SparkSession, path: str, budget: int | None = None, stride
 
     ``names`` is a pattern of the paths that are taken.
     """
-    rows = lines(spark, path, names)
+    rows = _read(spark, path, names)
+    data = F.col("value").rlike(r"^﻿?\s*[-+]?(\d|\.\d)")
     bare = F.regexp_replace(F.regexp_replace("value", r"^\s+|\s+$", ""), "^﻿+", "")
+    filled = lambda tokens: F.filter(tokens, lambda t: F.trim(t) != "")
+    split = lambda csv, own, other: F.when(csv, filled(F.split(own, r"[,;\t]+"))).otherwise(F.array_remove(F.split(other, r"[\s,;]+"), ""))
+    tokens = lambda csv: split(csv, bare, F.ltrim("value", F.lit("﻿")))
     csv, pts = F.lower("file").endswith(".csv"), F.lower("file").endswith(".pts")
-    parts = lambda text: F.filter(F.when(csv, F.split(text, r"[,;\t]+")).otherwise(F.split(text, r"[\s,;]+")), lambda t: F.trim(t) != "")
-    data = F.col("value").rlike(r"^﻿?\s*[-+]?(\d|\.\d)")
     low = F.lower(bare)
-    words = F.transform(parts(F.when(low.startswith("#"), F.regexp_extract(low, "columns=(.*)$", 1)).otherwise(low)), F.trim)
-    rows = rows.select("file", "block", "at", data.alias("data"), F.when(data, parts(bare)).otherwise(words).alias("tokens"))
-    named = ~F.col("data")
-    for axis in "xyz":
-        named &= F.arrays_overlap("tokens", F.array(*map(F.lit, formats.TEXT_NAMES[axis])))
+    low = F.when(low.startswith("#"), F.regexp_extract(low, "columns=(.*)$", 1)).otherwise(low)
+    words = F.transform(split(csv, low, low), F.trim)
+    at, place = F.monotonically_increasing_id().alias("at"), F.struct("block", "at")
     # The first line that names the columns or holds a point decides; the count that a list may begin with does not.
-    decides = rows.where(named | F.col("data") & ~(pts & (F.size("tokens") == 1)))
-    place = F.struct("block", "at")
-    heads = decides.groupBy("file").agg(F.min(place).alias("first"), F.min_by("data", place).alias("is_data"), F.min_by("tokens", place).alias("tokens"))
-    heads = heads.select("file", "first", (~F.col("is_data")).alias("named"), "tokens").mapInArrow(_layouts, "file string, first struct<block: long, at: long>, layout array<string>")
-    heads = cut(heads)  # one row a file
-    rows = rows.where("data").join(heads, "file").where(place >= F.col("first"))
-    rows = numbered(rows.select("file", "block", "at", "tokens", "layout"))
-
-    def column(name: str) -> Column:
-        at = F.array_position("layout", name).cast("int")
-        return F.when((at > 0) & (at <= F.size("tokens")), _number(F.try_element_at("tokens", F.nullif(at, F.lit(0))))).otherwise(NAN)
-
-    known = ("x", "y", "z", "r", "g", "b", "intensity", "classification")
-    has = {c: F.array_contains("layout", c) for c in (*known, "scan_id")}
-    rows = rows.select("file", "no", "layout", *(column(c).alias(c) for c in known), F.when(has["scan_id"], column("scan_id")).otherwise(0.0).alias("scan_id"))
-    return _scaled(rows, has | {"rgb": has["r"] & has["g"] & has["b"]}, False, budget, stride)
+    heads = rows.select("file", "block", at, F.when(data, F.size(tokens(csv))).alias("n"), F.when(~data, words).alias("words"))
+    named = F.col("words").isNotNull()
+    for axis in "xyz":
+        named &= F.arrays_overlap("words", F.array(*map(F.lit, formats.TEXT_NAMES[axis])))
+    heads = heads.where(named | (F.col("n").isNotNull() & ~((F.col("n") == 1) & pts)))
+    heads = heads.groupBy("file", "block", "n", "words").agg(F.min("at").alias("at"))  # by hashes; a minimum of structs would sort all lines
+    heads = heads.groupBy("file").agg(F.min(place).alias("first"), F.min_by(F.struct("n", "words"), place).alias("l")).select("file", "first", "l.*")
+    heads = cut(heads.mapInArrow(_layouts, "file string, first struct<block: long, at: long>, layout array<string>"))  # one row a file
+
+    known = {"places": ("x", "y", "z", "classification", "scan_id"), "shades": ("r", "g", "b", "intensity")}
+    has = {c: F.array_contains("layout", c) for cs in known.values() for c in cs}
+    index = lambda c: F.nullif(F.array_position("layout", c), F.lit(0)).cast("int") - 1
+    heads = heads.select(
+        "file", csv.alias("csv"), F.when(pts, F.col("first")).alias("first"), *(F.array(*map(index, cs)).alias(k) for k, cs in known.items()),
+        (has["r"] & has["g"] & has["b"]).alias("has_rgb"), *(has[c].alias(f"has_{c}") for c in ("intensity", "classification", "scan_id")),
+    )
+    # A file's layout and a range's sums are broadcast, a row each, so that lines are split where they are read and stay in their order.
+    rows = rows.select("file", "block", at, "value").where(data).join(F.broadcast(heads), "file").where(F.col("first").isNull() | (place >= F.col("first")))
+    rows = rows.drop("at").select("*", at, tokens(F.col("csv")).alias("tokens")).drop("value", "first", "csv")
+    parsed = lambda k: F.transform(k, lambda i: _number(F.get("tokens", i)))
+    ranges = rows.select("file", "block", "at", parsed("shades").alias("shades"))
+    ranges = ranges.select("file", "block", "at", *(F.col("shades")[i].alias(c) for i, c in enumerate(known["shades"])))
+    ranges = ranges.groupBy("file", "block").agg(*_tops(), F.min("at").alias("start"))
+    whole = Window.partitionBy("file")  # one row a range
+    before = F.coalesce(F.sum("total").over(whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("file", "block", (before - F.col("start")).alias("shift"), F.max("colour").over(whole).alias("colour"), F.max("most").over(whole).alias("most"), F.sum("total").over(whole).alias("total"))
+    rows = rows.join(F.broadcast(ranges), ["file", "block"]).withColumn("no", F.col("at") + F.col("shift"))
+    # From an array of one, as a plan would repeat the numbers' whole text in each filter of points.
+    rows = rows.withColumn("shades", parsed("shades")).withColumn("places", F.explode_outer(F.array(parsed("places"))))
+    rows = rows.select("*", *(F.col(k)[i].alias(c) for k, cs in known.items() for i, c in enumerate(cs)))
+    rows = rows.withColumn("scan_id", F.when(F.col("has_scan_id"), F.col("scan_id")).otherwise(0.0))
+    return _scaled(rows, {c: F.col(f"has_{c}") for c in ("rgb", "intensity", "classification")}, False, budget, stride)
 
 
 def _scans(rows: DataFrame) -> DataFrame:
@@ -172,4 +197,5 @@ def read_grids(spark: SparkSession, path: str, budget: int | None = None, stride
     points = numbered(points.drop("torn")).withColumn("classification", F.lit(NAN))
     coloured = points.groupBy("file").agg((F.count_if(F.isnan("r")) == 0).alias("coloured"))
     yes = F.lit(True)
+    points = points.join(points.groupBy("file").agg(*_tops()), "file")
     return _scaled(points.join(coloured, "file"), {"rgb": F.col("coloured"), "intensity": yes, "classification": F.lit(False)}, True, budget, stride, with_file)

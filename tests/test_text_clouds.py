@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 
@@ -57,6 +58,34 @@ def test_a_budget_counts_each_file(spark, tmp_path, monkeypatch):
     assert sorted(r["point_idx"] for r in got.where("cloud = 't.xyz'").collect()) == kept.nonzero()[0].tolist()
 
 
+def test_lines_of_lists_are_not_shuffled_and_their_stages_are_compiled(spark, tmp_path, capsys):
+    """Only sums of ranges are; the JVM interprets methods of over 8,000 bytes of code, a tenth as fast."""
+    (tmp_path / "t.xyz").write_text("".join(f"{i} 0 0 1 2 3\n" for i in range(500)))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = text_clouds.read_lists(spark, str(tmp_path))
+        found.explain("codegen")
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+        found.explain()
+        plan = capsys.readouterr().out
+        assert found.count() == 500
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(sizes) > 5 and max(sizes) < 8000
+    assert "SortMergeJoin" not in plan and not re.search(r"Exchange hashpartitioning\(.*(value|tokens)", plan)
+    assert "row_number" not in plan and "SortAggregate" not in plan
+
+
+def test_lists_of_odd_lines_in_many_ranges(spark, tmp_path, ranges):
+    """Counts before and among the points, lines of one kind after the other, separators at both ends, numbers that are none."""
+    lines = ["", "  77", "12", "", " ,1;2,3, 0.5 9 9 9;", "4 5 6", "1e3 -2.5E-1 +.5 x 1. 0x10 1d", "8", "# columns=x,y,z", "nan 1 2", "7 8 9", "inf 0 0"]
+    (tmp_path / "a.pts").write_text("\n".join(lines + [f"{i} {i} {i} 0.25 1 2 3" for i in range(90)]) + "\n")
+    (tmp_path / "b.txt").write_text("\n".join(["note", "# columns=z,class,y,x", *lines[4:], *lines]) + "\n")
+    (tmp_path / "C.CSV").write_text("x,y,z\n1 , 2 ,3\n4 5,6,7\n8,9,10\n")
+    same(text_clouds.read_lists(spark, str(tmp_path)), whole(spark, tmp_path))
+    same(text_clouds.read_lists(spark, str(tmp_path), stride=3), whole(spark, tmp_path, stride=3))
+
+
 def grid(draw, cols, rows, coloured, place, transposed=False):
     matrix = [[0, 1, 0, 0], [-1, 0, 0, 0], [0, 0, 1, 0], [*place, 1]]
     if transposed:
