@@ -68,6 +68,18 @@ def test_robust_range_of_few_points_takes_each(spark, duck):
         assert found[axis] == pytest.approx(v[int((len(v) - 1) * 0.995)] - v[int((len(v) - 1) * 0.005)])
 
 
+def test_deviation_stats_hold_the_percentiles(spark, duck):
+    rows = duck.execute("SELECT vec_id, embedding[1:3] FROM embeddings").fetchall()
+    own, ref = ([r[1] for r in rows if r[0] % 2 == k] for k in (1, 0))
+    near = [min(math.dist(a, b) for b in ref) for a in own]
+    near = sorted(d for d in near if d <= 0.1)
+    found = catalog.queries()["deviation_stats"](spark, SF).first()
+    assert found.matched == len(near) > 20
+    assert (found.lo, found.hi) == pytest.approx((near[0], near[-1]), abs=1e-8)
+    for share, got in ((0.5, found.p50), (0.95, found.p95)):
+        assert got == pytest.approx(near[int((len(near) - 1) * share)], abs=1e-8)
+
+
 def test_each_oracle_is_sql():
     import __spark_entry__
 
