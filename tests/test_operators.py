@@ -73,6 +73,13 @@ def test_index_and_order_statistics(spark):
     assert order_statistics(df.limit(0), "v", {"a": 0.5}).first().a is None
 
 
+def test_numbers_need_not_keep_what_they_are_ordered_by(spark):
+    df = spark.createDataFrame([(i * 7 % 100, str(i)) for i in range(100)], "v int, w string").repartition(5)
+    found = with_index(df, ["v"], keep=["w"])
+    assert found.columns == ["w", "point_idx"]
+    assert {r.w: r.point_idx for r in found.collect()} == {str(i): i * 7 % 100 for i in range(100)}
+
+
 def test_frames_go_there_and_back(room):
     a = F.lit("zup"), [F.lit(1.0), F.lit(2.0), F.lit(3.0)]
     b = F.lit("yup"), [F.lit(-4.0), F.lit(5.0), F.lit(6.0)]
